@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.packing import op1_window_packing
 from lattica.llm.sharding import op8_virtual_slots
+from lattica.llm.simhash import op3_simhash_index
 from lattica.llm.token_counts import op2_transducer_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_window_packing, op2_transducer_counts, op8_virtual_slots]
+    found = [op1_window_packing, op2_transducer_counts, op3_simhash_index, op8_virtual_slots]
     return {f.__name__: f for f in found}
 
 
