@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.embeddings import op9_pca_tiles
 from lattica.llm.packing import op1_window_packing
+from lattica.llm.quality import op7_neighbour_votes
 from lattica.llm.sharding import op8_virtual_slots
 from lattica.llm.simhash import op3_simhash_index
 from lattica.llm.token_counts import op2_transducer_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_window_packing, op2_transducer_counts, op3_simhash_index, op8_virtual_slots, op9_pca_tiles]
+    found = [op1_window_packing, op2_transducer_counts, op3_simhash_index, op7_neighbour_votes, op8_virtual_slots, op9_pca_tiles]
     return {f.__name__: f for f in found}
 
 
