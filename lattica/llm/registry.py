@@ -12,10 +12,11 @@ from lattica.llm.quality import op7_neighbour_votes
 from lattica.llm.sharding import op8_virtual_slots
 from lattica.llm.simhash import op3_simhash_index
 from lattica.llm.token_counts import op2_transducer_counts
+from lattica.llm.toxicity import op5_noisy_channel
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_window_packing, op2_transducer_counts, op3_simhash_index, op7_neighbour_votes, op8_virtual_slots, op9_pca_tiles]
+    found = [op1_window_packing, op2_transducer_counts, op3_simhash_index, op5_noisy_channel, op7_neighbour_votes, op8_virtual_slots, op9_pca_tiles]
     return {f.__name__: f for f in found}
 
 
