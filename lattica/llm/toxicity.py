@@ -30,7 +30,7 @@ from lattica.llm.labels import held_out, labelled_sample
 
 CUT = 0.5
 RULES = 400
-LEAST_COVER = 4
+LEAST_COVER = 6
 LEAST_PRECISION = 0.55
 PREFIXES = range(4, 9)
 #: Symbols of the character model: word edge, a to z, any other letter, anything else.
@@ -227,7 +227,7 @@ def learn(sample: list[tuple[bytes, int]], total: dict[int, int], channel: Chann
     against: Counter[str] = Counter()
     for t, r in zip(clean, channel.restorations(clean), strict=True):
         against.update(of.keys() & evidence(t.decode().lower(), r))
-    open_, rules = np.ones(len(toxic)), {}  # a document counts half for each rule that covers it
+    open_, rules = np.ones(len(toxic)), {}  # a document counts a quarter for each rule that covers it
     live = {f: len(d) for f, d in of.items() if bound(len(d), weight * against[f]) >= LEAST_PRECISION}
     while live and len(rules) < RULES:
         # Most open documents; a whole word before a beginning, a longer beginning before a shorter one
@@ -244,7 +244,7 @@ def learn(sample: list[tuple[bytes, int]], total: dict[int, int], channel: Chann
         if any(len(own.difference(of[g])) < max(LEAST_COVER, 0.1 * len(own)) for g in kin):
             continue  # says what a rule of the same stem has said
         rules[f] = bound(len(of[f]), weight * against[f])
-        open_[of[f]] /= 2
+        open_[of[f]] /= 4
     missed = float((open_ == 1).sum())
     return rules, min(0.4, (missed + 1) * total.get(1, 1) / len(toxic) / max(sum(total.values()), 1))
 
