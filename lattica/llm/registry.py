@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.llm.decontaminate import op4_spaced_seeds
 from lattica.llm.embeddings import op9_pca_tiles
 from lattica.llm.packing import op1_window_packing
 from lattica.llm.quality import op7_neighbour_votes
@@ -16,7 +17,7 @@ from lattica.llm.toxicity import op5_noisy_channel
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_window_packing, op2_transducer_counts, op3_simhash_index, op5_noisy_channel, op7_neighbour_votes, op8_virtual_slots, op9_pca_tiles]
+    found = [op1_window_packing, op2_transducer_counts, op3_simhash_index, op4_spaced_seeds, op5_noisy_channel, op7_neighbour_votes, op8_virtual_slots, op9_pca_tiles]
     return {f.__name__: f for f in found}
 
 
