@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import as_bytes, slices, table
+from lattica.llm.common import as_bytes, filter_texts, slices, table
 from lattica.llm.labels import held_out, labelled_sample
 
 RANK = 64
@@ -177,6 +177,12 @@ def score_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) ->
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents predicted to be of quality, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(train_docs, labels, "quality")))
+    return filter_texts(docs, lambda texts: model.value.scores(texts) >= CUT)
+
+
 def op7_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, docs, table(spark, sf_dir, "labels"))
