@@ -373,8 +373,11 @@ METRIC_PATTERNS = [("BLEU", r"(?i)BLEU[^0-9]{0,10}(\d+(?:\.\d+)?)"), ("accuracy"
 
 def metric_mentions(text: Column) -> Column:
     """Array of (metric, value) found in a text."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v, m=m: F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"))) for m, p in METRIC_PATTERNS]
-    return F.concat(*found)
+
+    def named(metric: str):
+        return lambda v: F.struct(F.lit(metric).alias("metric"), v.cast("double").alias("value"))
+
+    return F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), named(m)) for m, p in METRIC_PATTERNS))
 
 
 def named_entities(text: Column, known: Column) -> Column:

@@ -98,7 +98,7 @@ def top_values(triples: DataFrame, by: list[str], columns: list[str], n: int) ->
 def diverse_samples(triples: DataFrame, by: list[str], n: int = 5) -> DataFrame:
     """The first triple of each predicate, n at most for each group."""
     first = triples.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "predicate").orderBy("ord"))).where("_r = 1").drop("_r")
-    return first.withColumn("sample", F.row_number().over(Window.partitionBy(*by).orderBy("ord"))).where(F.col("sample") <= n)
+    return first.withColumn("sample", F.row_number().over(Window.partitionBy(*by).orderBy("ord", "predicate"))).where(F.col("sample") <= n)
 
 
 def keyed(triples: DataFrame) -> DataFrame:
