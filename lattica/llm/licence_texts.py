@@ -80,7 +80,7 @@ LICENCE_TEXTS = [
 
 #: (spelling, the one that stands for it), by the start of a word, after punctuation is gone.
 EQUIVALENT = [
-    ("licence", "license"), ("licenced", "licensed"), ("licencing", "licensing"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
+    ("licence", "license"), ("licenced", "licensed"), ("licencing", "licensing"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
     ("behaviour", "behavior"), ("calibre", "caliber"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"),
     ("copyright owner", "copyright holder"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil ", "fulfill "),

@@ -4,8 +4,9 @@ A character trigram model is counted over all documents. Spans that look disguis
 word, letters repeated three times or more, single letters spaced out) become lattices: each position offers its
 literal reading, the letters that it can stand for, and for a run of one letter one or two of it; separators
 between spaced letters may vanish. A Viterbi pass finds the reading of least cost under the model. The restored
-text is scored by a rule list learned from the labelled sample: words and word beginnings, chosen greedily by how
-many toxic documents not yet explained they cover, each with the lower confidence bound of its precision.
+text is scored by a rule list learned from the labelled sample: a word or word beginning that a text holds a number
+of times, or at a rate. Rules are chosen greedily by how many toxic documents not yet explained they cover, each with
+the lower confidence bound of its precision.
 
 Defined results: a null text is scored as empty (the score of a document without evidence); rows with a null
 doc_id are scored and not held out; repeated rows are scored each; without labels, or with labels of one kind
@@ -30,9 +31,13 @@ from lattica.llm.labels import held_out, labelled_sample
 
 CUT = 0.5
 RULES = 400
-LEAST_COVER = 6
+LEAST_COVER = 3.5
 LEAST_PRECISION = 0.55
+SURE = 0.95
+COMMON = 0.12
 PREFIXES = range(4, 9)
+#: (times, words): a rule may ask for so many occurrences, and for one in so many words at least (0: at any rate).
+DEMANDS = ((1, 0), (2, 0), (3, 0), (2, 400), (3, 200), (3, 100))
 #: Symbols of the character model: word edge, a to z, any other letter, anything else.
 EDGE, OTHER, SIGN = 0, 27, 28
 SYMBOLS = 29
@@ -196,54 +201,73 @@ class Channel:
         return ["\n".join(x) for x in out]
 
 
-def evidence(text: str, restored: str) -> set[str]:
-    """The words of a text and of its restored spans, and (marked ^) their beginnings."""
-    words = set(WORD.findall(text))
-    words |= set(WORD.findall(restored))
-    return words | {"^" + w[:n] for w in words for n in PREFIXES if len(w) > n}
+def meets(demand: tuple[int, int], times: int, words: int) -> bool:
+    return times >= demand[0] and times * demand[1] >= (words if demand[1] else 0)
 
 
-def bound(hit: float, miss: float) -> float:
-    """Lower end of Wilson's interval for hit / (hit + miss), one standard error wide."""
+def counts(text: str, restored: str) -> tuple[Counter, int]:
+    """How often a text and its restored spans hold each word and (marked ^) each word beginning; its length in words."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(WORD.findall(text) + WORD.findall(restored)).items():
+        out[w] += n
+        for k in PREFIXES:
+            if len(w) >= k:
+                out["^" + w[:k]] += n
+    return out, len(text.split())
+
+
+def bound(hit: float, miss: float, z: float = 1.64) -> float:
+    """Lower end of Wilson's interval for hit / (hit + miss), z standard errors wide."""
     n = hit + miss
     if not n:
         return 0.0
     p = hit / n
-    return (p + 0.5 / n - (p * (1 - p) / n + 0.25 / n**2) ** 0.5) / (1 + 1 / n)
+    return (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n**2) ** 0.5) / (1 + z * z / n)
+
 
+Rule = tuple[str, tuple[int, int]]
 
-def learn(sample: list[tuple[bytes, int]], total: dict[int, int], channel: Channel) -> tuple[dict[str, float], float]:
+
+def learn(sample: list[tuple[bytes, int]], total: dict[int, int], channel: Channel) -> tuple[dict[Rule, float], float]:
     """Rules with their scores, and the score of a document that none applies to."""
     toxic, clean = {t for t, y in sample if y}, {t for t, y in sample if not y}
     toxic, clean = sorted(toxic), sorted(clean - toxic)
     if not toxic or not clean:
         return {}, 0.0
     weight = (total.get(0, 1) / len(clean)) / max(total.get(1, 1) / len(toxic), 1e-9)
-    of: dict[str, list[int]] = defaultdict(list)
-    for i, (t, r) in enumerate(zip(toxic, channel.restorations(toxic), strict=True)):
-        for f in evidence(t.decode().lower(), r):
-            of[f].append(i)
+
+    def rules_of(texts: list[bytes], known=None):
+        for i, (t, r) in enumerate(zip(texts, channel.restorations(texts), strict=True)):
+            held, n = counts(t.decode().lower(), r)
+            for f in held if known is None else known & held.keys():
+                for d in DEMANDS:
+                    if meets(d, held[f], n):
+                        yield i, (f, d)
+
+    of: dict[Rule, list[int]] = defaultdict(list)
+    for i, f in rules_of(toxic):
+        of[f].append(i)
     of = {f: d for f, d in of.items() if len(d) >= LEAST_COVER}
-    against: Counter[str] = Counter()
-    for t, r in zip(clean, channel.restorations(clean), strict=True):
-        against.update(of.keys() & evidence(t.decode().lower(), r))
+    against: Counter[Rule] = Counter(f for _, f in rules_of(clean, {f for f, _ in of}))
+    precision = {f: bound(len(d), weight * against[f]) for f, d in of.items()}
     open_, rules = np.ones(len(toxic)), {}  # a document counts a quarter for each rule that covers it
-    live = {f: len(d) for f, d in of.items() if bound(len(d), weight * against[f]) >= LEAST_PRECISION}
+    live = {f: float(len(d)) for f, d in of.items() if precision[f] >= LEAST_PRECISION}
     while live and len(rules) < RULES:
-        # Most open documents; a whole word before a beginning, a longer beginning before a shorter one
-        f = max(live, key=lambda f: (live[f] - 3 * weight * against[f], not f.startswith("^"), len(f), f))
+        # Most open documents for their precision; whole words before beginnings, longer beginnings before shorter ones
+        f = max(live, key=lambda f: (live[f] * precision[f] ** 4, not f[0].startswith("^"), len(f[0]), f))
         n = float(open_[of[f]].sum())
+        common = precision[f] >= SURE or len(of[f]) >= COMMON * len(toxic)  # worth having though its documents are covered
         if n < live[f]:  # counted before others were chosen
             live[f] = n
+            if n < LEAST_COVER and not common:
+                del live[f]
             continue
         del live[f]
-        if n < LEAST_COVER:
-            break
-        stem, own = f.lstrip("^"), set(of[f])
-        kin = [g for g in rules if g.lstrip("^").startswith(stem) or g.startswith("^") and stem.startswith(g[1:])]
+        stem, own = f[0].lstrip("^"), set(of[f])
+        kin = [g for g in rules if g[0].lstrip("^").startswith(stem) or g[0].startswith("^") and stem.startswith(g[0][1:])]
         if any(len(own.difference(of[g])) < max(LEAST_COVER, 0.1 * len(own)) for g in kin):
             continue  # says what a rule of the same stem has said
-        rules[f] = bound(len(of[f]), weight * against[f])
+        rules[f] = precision[f]
         open_[of[f]] /= 4
     missed = float((open_ == 1).sum())
     return rules, min(0.4, (missed + 1) * total.get(1, 1) / len(toxic) / max(sum(total.values()), 1))
@@ -252,31 +276,41 @@ def learn(sample: list[tuple[bytes, int]], total: dict[int, int], channel: Chann
 @dataclass
 class Scorer:
     channel: Channel
-    rules: dict[str, float]
+    rules: dict[Rule, float]
     base: float
     tree: object = None
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.tree is None:
             self.tree = ahocorasick.Automaton()
-            for f, p in self.rules.items():
-                self.tree.add_word(f.lstrip("^"), (len(f.lstrip("^")), f.startswith("^"), p))
+            for stem in {f.lstrip("^") for f, _ in self.rules}:
+                self.tree.add_word(stem, stem)
             if self.rules:
                 self.tree.make_automaton()
         return np.array([self.score(t.decode().lower(), r) for t, r in zip(texts, self.channel.restorations(texts), strict=True)], np.float64)
 
     def score(self, text: str, restored: str) -> float:
-        """1 - product of (1 - precision) over the rules that apply: any one is enough."""
+        """1 - product of (1 - precision) over stems, each by the best of its rules that apply: any one is enough."""
         if not self.rules:
             return self.base
-        miss, seen = 1 - self.base, set()
+        times: Counter[str] = Counter()
         for s in (text, restored):
-            for end, (n, begins, p) in self.tree.iter(s):
-                i = end - n
-                if (begins, n, p) in seen or i >= 0 and s[i].isalpha() or end + 1 < len(s) and s[end + 1].isalpha() != begins or begins and end + 1 == len(s):
+            for end, stem in self.tree.iter(s):
+                i = end - len(stem)
+                if i >= 0 and s[i].isalpha():
                     continue
-                seen.add((begins, n, p))
-                miss *= 1 - p
+                times["^" + stem] += 1
+                if end + 1 == len(s) or not s[end + 1].isalpha():
+                    times[stem] += 1
+        if not times:
+            return self.base
+        words, best = len(text.split()), defaultdict(float)
+        for (f, d), p in self.rules.items():
+            if meets(d, times[f], words):
+                best[f.lstrip("^")] = max(best[f.lstrip("^")], p)
+        miss = 1 - self.base
+        for p in best.values():
+            miss *= 1 - p
         return 1 - miss
 
     def __getstate__(self):
@@ -287,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     cost = character_model(docs)
     sample, total = labelled_sample(docs, labels, "toxic")
     rules, base = learn(sample, total, Channel(cost))
-    return Scorer(Channel(cost, tuple(sorted(f for f in rules if not f.startswith("^")))), rules, base)
+    return Scorer(Channel(cost, tuple(sorted({f for f, _ in rules if not f.startswith("^")}))), rules, base)
 
 
 def score_toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
