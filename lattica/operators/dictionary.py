@@ -93,13 +93,15 @@ def aggregate_gazetteer(mentions: DataFrame) -> DataFrame:
 def match_gazetteer(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST_NGRAM) -> DataFrame:
     """id, key, hits: every occurrence of a gazetteer key as a token n-gram, overlapping ones all counted.
 
-    A first-token filter on the exploded positions keeps the n-gram fan-out to places where a key can start.
+    A place is joined with the keys that begin with its one or two words, and only then compared in full, so the
+    fan-out stays near the number of hits.
     """
     tokens = docs.select(F.col(id_col), T.gazetteer_tokens(F.col(text_col)).alias("_t"))
-    at = tokens.select(id_col, F.posexplode("_t").alias("_p", "_w"), "_t").select(id_col, "_w", F.slice("_t", F.col("_p") + 1, F.lit(longest)).alias("_run"))
-    keys = gazetteer.select("key", F.split("key", " ").alias("_k")).distinct().select("key", F.element_at("_k", 1).alias("_w"), F.size("_k").alias("_n"))
-    hit = at.join(keys, "_w").where(F.array_join(F.slice("_run", F.lit(1), F.col("_n")), " ") == F.col("key"))
-    return hit.groupBy(id_col, "key").agg(F.count("*").alias("hits"))
+    at = tokens.select(id_col, F.posexplode("_t").alias("_p", "_w"), "_t").select(id_col, "_w", F.get("_t", F.col("_p") + 1).alias("_x"), F.slice("_t", F.col("_p") + 1, F.lit(longest)).alias("_run"))
+    keys = gazetteer.select("key", F.split("key", " ").alias("_k")).distinct().select("key", F.get("_k", 0).alias("_w"), F.get("_k", 1).alias("_x"), F.size("_k").alias("_n"))
+    single = at.select(id_col, "_w").join(keys.where("_n = 1").select("key", "_w"), "_w").select(id_col, "key")
+    longer = at.join(keys.where("_n > 1"), ["_w", "_x"]).where(F.array_join(F.slice("_run", F.lit(1), F.col("_n")), " ") == F.col("key")).select(id_col, "key")
+    return single.union(longer).groupBy(id_col, "key").agg(F.count("*").alias("hits"))
 
 
 def entity_rows(seeds: DataFrame, body: DataFrame, to_type: dict[str, str | None] | None, least: int = 1, most: int | None = None, hard_only: bool = True, most_words: int | None = 6) -> DataFrame:

@@ -19,12 +19,16 @@ def build_graph(triples: DataFrame, forms: DataFrame | None = None) -> tuple[Dat
     """Nodes (paper_id, node, label) and edges (paper_id, src, dst, relation, paper, section, sentence, ord) of each
     paper's triples. Ends must be valid; known names become their canonical form; the first label of a node wins;
     parallel edges stay."""
-    t = triples.where(T.is_valid_entity(F.col("subject")) & T.is_valid_entity(F.col("object")))
+    # Names repeat far more often than they differ: rules run once for each name
+    names = triples.select(F.explode(F.array("subject", "object")).alias("name")).distinct().where(T.is_valid_entity(F.col("name")))
+    if forms is None:
+        names = names.select("name", T.normal_entity(F.col("name")).alias("node"), T.display_label(F.col("name")).alias("label"))
+    else:
+        names = match_names(resolve_names(names, "name", forms, "node"), "name", forms).select("name", "node", T.display_label(F.coalesce("canonical", "name")).alias("label"))
+    names = staged(names, "names")
+    t = triples
     for end, out in (("subject", "src"), ("object", "dst")):
-        if forms is None:
-            t = t.withColumn(out, T.normal_entity(F.col(end))).withColumn(f"{out}_label", T.display_label(F.col(end)))
-        else:
-            t = match_names(resolve_names(t, end, forms, out), end, forms).withColumn(f"{out}_label", T.display_label(F.coalesce("canonical", end))).drop("canonical")
+        t = t.join(names.select(F.col("name").alias(end), F.col("node").alias(out), F.col("label").alias(f"{out}_label")), end)
     t = t.withColumn("relation", F.replace(F.trim(F.lower("predicate")), F.lit("_"), F.lit(" "))).where("src <> '' and dst <> '' and relation <> ''")
     ends = t.select("paper_id", F.posexplode(F.array(F.struct(F.col("src").alias("node"), F.col("src_label").alias("label")), F.struct(F.col("dst").alias("node"), F.col("dst_label").alias("label")))).alias("k", "e"), "ord")
     nodes = ends.groupBy("paper_id", F.col("e.node").alias("node")).agg(F.min_by("e.label", F.struct("ord", "k")).alias("label"))
@@ -219,8 +223,10 @@ def merge_papers(state: dict[str, DataFrame], triples: DataFrame, networks: Data
     pair) are added where they are missing; nothing is ever removed.
     """
     n = papers.select("paper_id").distinct().join(triples.groupBy("paper_id").agg(F.count("*").alias("n_triples")), "paper_id", "left").withColumn("n_triples", F.coalesce("n_triples", F.lit(0)).cast("long"))
-    batch = n.join(state["merged"], ["paper_id", "n_triples"], "left_anti")
-    nets = networks.join(batch.select("paper_id"), "paper_id", "left_semi")
+    batch = staged(n.join(state["merged"], ["paper_id", "n_triples"], "left_anti"), "batch")
+    if batch.isEmpty():
+        return state
+    nets = staged(networks.join(batch.select("paper_id"), "paper_id", "left_semi"), "networks")
     t = triples.join(batch.select("paper_id"), "paper_id", "left_semi")
 
     # 1. Names: stubs of batch papers become the papers
@@ -228,7 +234,7 @@ def merge_papers(state: dict[str, DataFrame], triples: DataFrame, networks: Data
     ids = state["ids"].join(fresh_ids, "external_id", "left_anti").union(fresh_ids)
     known = state["nodes"].select("node")
     moves = fresh_ids.select(paper_node(F.col("external_id")).alias("old"), paper_node(F.col("paper_id")).alias("new")).where("old <> new")
-    moves = moves.join(known.withColumnRenamed("node", "old"), "old", "left_semi").join(known.withColumnRenamed("node", "new"), "new", "left_anti")
+    moves = staged(moves.join(known.withColumnRenamed("node", "old"), "old", "left_semi").join(known.withColumnRenamed("node", "new"), "new", "left_anti"), "moves")
 
     def moved(df: DataFrame, col: str) -> DataFrame:
         m = moves.select(F.col("old").alias(col), F.col("new").alias("_new"))
@@ -240,7 +246,7 @@ def merge_papers(state: dict[str, DataFrame], triples: DataFrame, networks: Data
     # 2. Papers, entities, mentions and typed edges
     title = nets.groupBy("paper_id").agg(F.max(F.nullif("title", F.lit(""))).alias("title"), F.max("year").alias("year"))
     paper_nodes = batch.join(title, "paper_id", "left").select(paper_node(F.col("paper_id")).alias("node"), F.lit("paper").alias("type"), "title", "year", F.lit(None).cast("string").alias("label"), F.lit(0).alias("_pri"))
-    gn, ge = build_graph(t, forms)
+    gn, ge = (staged(x, "built") for x in build_graph(t, forms))
     entity_nodes = gn.groupBy("node").agg(F.max_by("label", "paper_id").alias("label")).select("node", F.lit("entity").alias("type"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year"), "label", F.lit(0).alias("_pri"))
     none = F.lit(None).cast("string")
     mentions = gn.select(paper_node(F.col("paper_id")).alias("src"), F.col("node").alias("dst"), F.lit("mentions").alias("key"), F.lit("mentions").alias("relation"), none.alias("paper"), none.alias("section"), none.alias("sentence"), F.lit(0).alias("ord"))
@@ -248,7 +254,7 @@ def merge_papers(state: dict[str, DataFrame], triples: DataFrame, networks: Data
 
     # 3. Citations; ids that are no corpus paper's become stubs
     e = nets.select(F.explode("edges").alias("e")).select(F.col("e.source").alias("a"), F.col("e.target").alias("b")).where("a <> '' and b <> ''")
-    e = corpus_id(corpus_id(e, "a", ids, "a2"), "b", ids, "b2")
+    e = staged(corpus_id(corpus_id(e, "a", ids, "a2"), "b", ids, "b2"), "citations")
     cites = e.select(paper_node(F.col("a2")).alias("src"), paper_node(F.col("b2")).alias("dst"), F.lit("cites").alias("key"), F.lit("cites").alias("relation"), none.alias("paper"), none.alias("section"), none.alias("sentence"), F.lit(0).alias("ord"))
     info = nets.select(F.explode("nodes").alias("x", "v")).groupBy("x").agg(F.max("v.title").alias("title"), F.max("v.year").alias("year"))
     ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("a2").alias("y")), F.struct(F.col("b").alias("x"), F.col("b2").alias("y")))).alias("z")).select("z.*").distinct()

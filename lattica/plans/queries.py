@@ -20,6 +20,7 @@ from lattica.operators import ranking as R
 from lattica.operators import triples as TR
 from lattica.plans import derived
 from lattica.plans.derived import Tables, with_sql
+from lattica.sources.tables import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,7 +130,7 @@ def concept_overlap(t: Tables) -> DataFrame:
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM scores) WHERE rank <= 10"""
 )
 def tfidf_cosine_topk(t: Tables) -> DataFrame:
-    v = C.tfidf(t.documents, "doc_id", "text")
+    v = staged(C.tfidf(t.documents, "doc_id", "text"), "tfidf")
     return R.ranked(C.cosine_by_term(v.where("id % 50 = 0"), v).withColumn("score", F.round("score", 6)), 10)
 
 
@@ -650,9 +651,8 @@ def _batches(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 )
 def graph_merge_incremental(t: Tables) -> DataFrame:
     """Two batches, the second resolving the stubs that the first made; then the first again, which changes nothing."""
-    from lattica.sources.tables import staged
-
     tr, nets, papers = _batches(t)
+    tr, nets = staged(tr, "triples"), staged(nets, "networks")
     state = G.empty_state(t.spark)
     for part in (papers.where("not late"), papers.where("late"), papers.where("not late")):
         state = {k: staged(v, k) for k, v in G.merge_papers(state, tr, nets, part).items()}
