@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lattica.functions import text as T
@@ -127,7 +128,7 @@ def detect_columns(blocks: DataFrame, by: list[str], least: int = 10) -> DataFra
         return page.assign(col=best)
 
     kept = blocks.drop("col")
-    return kept.groupBy(*by, "page").applyInPandas(run, kept.schema.add("col", "int"))
+    return kept.groupBy(*by, "page").applyInPandas(run, StructType([*kept.schema, StructField("col", IntegerType())]))
 
 
 def repair_caption_headers(tables: DataFrame) -> DataFrame:

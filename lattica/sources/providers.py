@@ -11,6 +11,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lattica.functions import text as T
 
@@ -63,7 +64,7 @@ class PatternExtractor:
 
 def generated(prompts: DataFrame, provider: Generator, batch: int = 8, prompt_col: str = "prompt") -> DataFrame:
     """Adds raw: the provider's answers. Filter before this: it is the expensive step."""
-    schema = prompts.schema.add("raw", "string")
+    schema = StructType([*prompts.schema, StructField("raw", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,7 @@ def entity_csv(spark: SparkSession, paths: str | list[str], true_only: bool = Tr
     col = lambda c: F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) if c in raw.columns else F.lit("")
     rows = raw.select(F.monotonically_increasing_id().alias("ord"), col("Entity").alias("entity"), col("Abbreviation").alias("abbreviation"), col("Aliases").alias("a"), col("TP").try_cast("int").alias("tp"), col("NER_Type").alias("ner_type"), col("CEO_Type").alias("ceo_type"))
     rows = rows.where("entity <> ''").where("tp = 1" if true_only else "true")
-    aliases = F.filter(F.transform(F.split("a", ","), F.trim), lambda x: x != "")
+    aliases = F.filter(F.transform(F.split("a", ","), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("ord", "entity", "abbreviation", aliases.alias("aliases"), "ner_type", "ceo_type")
 
 
