@@ -149,3 +149,16 @@ def verdict_summary(judged: DataFrame, by: list[str]) -> DataFrame:
     return out.select(
         "*", rate(F.col("correct")).alias("precision"), rate(F.col("partial")).alias("partial_rate"), rate(F.col("incorrect")).alias("error_rate"), rate(F.col("correct") + 0.5 * F.col("partial")).alias("lenient_precision")
     )
+
+
+def annotated_source(rows: DataFrame, forms: DataFrame, most: int = 5) -> DataFrame:
+    """Adds annotated: the source sentence with the subject's first surface form followed by its canonical name, and
+    forms: up to `most` forms in order of priority. What a judge is shown, so that it knows a name by its aliases."""
+    f = forms.select("canonical", "form", "priority").where(F.lower("canonical") != F.col("form"))
+    listed = f.groupBy(F.lower("canonical").alias("_k")).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("priority", (-F.length("form")).alias("n"), "form"))), lambda x: x["form"]), 1, most).alias("forms"), F.first("canonical").alias("_c"))
+    out = rows.join(listed, F.lower("subject") == F.col("_k"), "left")
+    low = F.lower("source_sentence")
+    hit = F.get(F.filter("forms", lambda x: F.contains(low, x)), 0)
+    place = F.position(hit, low)
+    note = F.concat(F.substr("source_sentence", F.lit(1), place - 1 + F.length(hit)), F.lit(" ("), "_c", F.lit(")"), F.substr("source_sentence", place + F.length(hit)))
+    return out.withColumn("annotated", F.when(hit.isNotNull() & ~F.contains(low, F.col("_k")), note).otherwise(F.col("source_sentence"))).drop("_k", "_c")

@@ -203,13 +203,18 @@ def read_ontology(text: str, most: int = 220) -> list[tuple[str, list[str], list
             return [_local(n) for n in names if not n.startswith(("owl:", "rdf:", "rdfs:"))]
 
         m = re.search(r'rdfs:comment\s+("""(?:.|\n)*?"""|"(?:\\.|[^"\\])*")', s)
-        comment = " ".join(m[1].strip('"').split()) if m else ""
-        out.append((_local(head), classes("domain"), classes("range"), re.split(r"(?<=[.!?])\s", comment)[0][:most]))
+        hint = m[1].strip('"').split(". ")[0].strip() if m else ""
+        out.append((_local(head), classes("domain"), classes("range"), hint if len(hint) <= most else hint[: most - 3] + "..."))
     if not out:
         raise ValueError("no object property in the ontology")
     return sorted(out)
 
 
+def relation_hints(relations: list[tuple[str, list[str], list[str], str]]) -> dict[str, str]:
+    """name: 'Domain → Range  |  hint', with ? for an open end: what a constrained extractor is told."""
+    return {n: f"{'/'.join(d) or '?'} → {'/'.join(r) or '?'}" + (f"  |  {h}" if h else "") for n, d, r, h in relations}
+
+
 def ontology_relations(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).first()[0]
     return spark.createDataFrame(read_ontology(text), "name string, domain array<string>, range array<string>, hint string")

@@ -69,7 +69,8 @@ TTL = """@prefix : <http://x#> . @prefix owl: <http://o#> . @prefix rdfs: <http:
 
 
 def test_ontology():
-    assert readers.read_ontology(TTL) == [("partOf", ["Place"], [], ""), ("uses", ["Model", "Method"], ["Tool"], "Consumes it.")]
+    assert readers.read_ontology(TTL) == [("partOf", ["Place"], [], ""), ("uses", ["Model", "Method"], ["Tool"], "Consumes it")]
+    assert readers.relation_hints(readers.read_ontology(TTL)) == {"partOf": "Place → ?", "uses": "Model/Method → Tool  |  Consumes it"}
     try:
         readers.read_ontology("@prefix : <x> .")
         raise AssertionError
@@ -165,3 +166,9 @@ def test_event_streams(spark):
         q.stop()
     windows = spark.table("ev_w").selectExpr("sum(n) AS n").first().n
     assert 0 < windows <= rows.count() and spark.table("ev_d").count() == rows.count() and spark.table("ev_s").count() > 0
+
+
+def test_annotated_sources(spark):
+    rows = spark.createDataFrame([("Bidirectional Encoder", "We train BERT on text"), ("Wikipedia", "Wikipedia is large"), ("Bidirectional Encoder", "No name here")], "subject string, source_sentence string")
+    got = [r.annotated for r in TR.annotated_source(rows, D.surface_forms(entities(spark))).collect()]
+    assert sorted(got) == sorted(["We train BERT (Bidirectional Encoder) on text", "Wikipedia is large", "No name here"])
