@@ -55,7 +55,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class BpeTransducer:
-    def __init__(self, path: str, capacity: int = 1 << 21):
+    def __init__(self, path: str, capacity: int = 1 << 20):
         spec = json.load(open(path, encoding="utf-8"))
         of = byte_alphabet()
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}

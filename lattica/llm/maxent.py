@@ -213,7 +213,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
                     t = Tokens.of(as_bytes(rows.column("text")))
                     train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(t.first))
                     parts.append(_merge([t.h], [t.cls], [train]))
-                    if len(parts) == 8:
+                    if len(parts) == 16:
                         parts = [_merge(*(list(x) for x in zip(*parts, strict=True)))]
         yield from done()
 
@@ -230,7 +230,7 @@ def train_round(blocks: DataFrame, weights: np.ndarray, which: int) -> tuple[np.
         w = start.value.copy()
         squares, met, seen = np.full_like(w, 1.0), np.zeros(len(w)), np.zeros(CLASSES)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 t = Tokens.of(as_bytes(part.column("text")))
                 descend(w, squares, met, t.features(), t.cls)
                 same, state = t.repeats()
