@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,13 +22,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows once to the shared folder and reads them back, which cuts the lineage."""
+    """Writes the rows once to the shared folder and reads them back, which cuts the lineage.
+
+    The files outlive every executor, so a lost one costs only the tasks that it was running.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes what this driver has staged; call it when the results that read it are written. Gives the number."""
+    jvm = spark.sparkContext._jvm
+    n = len(_written)
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 class VersionedTables:
     """Named tables under one folder, a new version for each commit.
 

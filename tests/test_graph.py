@@ -98,3 +98,11 @@ def test_vocabulary_numbers_names_in_order(spark):
     names = [f"n{i:04d}" for i in range(500)]
     got = {r.name: r.id for r in G.vocabulary(spark.createDataFrame([(n,) for n in names * 2], "name string").repartition(7), "name").collect()}
     assert got == {n: i for i, n in enumerate(sorted(names))}
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from lattica.sources import tables
+
+    df = staged(spark.range(5), "five")
+    assert df.count() == 5 and tables.drop_staged(spark) > 0
+    assert tables.drop_staged(spark) == 0
