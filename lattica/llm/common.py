@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: str | None = None
+from lattica.sources.tables import shared_folder as shared_dir
+from lattica.sources.tables import staged as stage
+
+__all__ = ["as_bytes", "filter_texts", "shared_dir", "slices", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    global _own_dir
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="lattica-")
-    return _own_dir
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows once to the shared folder and read them back.
-
-    The files outlive every executor, so a lost one costs only the tasks that it was running.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `most` bytes of text each (one row at least)."""
     import pyarrow.compute as pc
