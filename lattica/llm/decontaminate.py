@@ -213,3 +213,20 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def oracle() -> str:
+    """DuckDB SQL: a tolerated window holds four equal tokens in a row, so alignments come from shared runs of four."""
+    word = r"[a-z0-9\x{80}-\x{9F}\x{A2}-\x{AA}\x{AC}-\x{BA}\x{BC}-\x{BE}\x{C0}-\x{1FFF}\x{2080}-\x{10FFFF}]+"
+    return rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{word}') AS w FROM documents WHERE doc_id IS NOT NULL),
+    i AS (SELECT * FROM (SELECT item_id, regexp_extract_all(lower(text), '{word}') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) >= {SHORTEST}),
+    dp AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 0)::BIGINT)) AS p FROM d), ip AS (SELECT item_id, w, unnest(range(0, len(w)::BIGINT - 3)) AS p FROM i),
+    dg AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 4], ' ') AS g FROM dp), ig AS (SELECT item_id, p, array_to_string(w[p + 1:p + 4], ' ') AS g FROM ip),
+    lines AS (SELECT DISTINCT doc_id, item_id, dg.p - ig.p AS shift FROM dg JOIN ig USING (g)),
+    spans AS (SELECT doc_id, item_id, shift, greatest(shift, 0) AS start, least(shift + len(i.w), len(d.w)) AS stop, d.w AS dw, i.w AS iw FROM lines JOIN d USING (doc_id) JOIN i USING (item_id)),
+    same AS (SELECT doc_id, item_id, shift, start, least({WINDOW}, len(iw)) AS need, CASE WHEN len(iw) >= {WINDOW} THEN {WINDOW - MISSES} ELSE len(iw) END AS least_equal, list_transform(range(start, stop), lambda k: (dw[k + 1] = iw[k - shift + 1])::INT) AS eq FROM spans),
+    found AS (SELECT *, list_sum(eq)::BIGINT AS matched FROM same WHERE len(eq) >= need AND list_max(list_transform(range(0, len(eq)::BIGINT - need + 1), lambda k: list_sum(eq[k + 1:k + need]))) >= least_equal)
+    SELECT doc_id, item_id, start AS doc_start, start - shift AS item_start, len(eq)::BIGINT AS overlap_tokens, matched AS matched_tokens
+    FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start, start - shift) = 1
+    """

@@ -184,3 +184,13 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, block:
 def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+#: DuckDB SQL: every pair, and a walk along the links.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT vec_id AS node, vec_id AS other FROM v UNION SELECT node, b FROM reach JOIN links ON other = a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT node AS vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, node = min(other) AS kept FROM reach LEFT JOIN degree ON node = a GROUP BY node
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.decontaminate import op4_spaced_seeds
 from lattica.llm.embeddings import op9_pca_tiles
-from lattica.llm import licences
+from lattica.llm import decontaminate, embeddings, licences
 from lattica.llm.licences import op10_licence_digests
 from lattica.llm.maxent import op6_class_maxent
 from lattica.llm.packing import op1_window_packing
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licence_digests": licences.oracle()}
+    return {"op4_spaced_seeds": decontaminate.oracle(), "op9_pca_tiles": embeddings.ORACLE, "op10_licence_digests": licences.oracle()}
