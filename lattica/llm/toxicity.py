@@ -15,6 +15,7 @@ only, there are no rules; an empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -240,7 +241,7 @@ def learn(sample: list[tuple[bytes, int]], total: dict[int, int], channel: Chann
         for i, (t, r) in enumerate(zip(texts, channel.restorations(texts), strict=True)):
             held, n = counts(t.decode().lower(), r)
             for f in held if known is None else known & held.keys():
-                for d in DEMANDS:
+                for d in DEMANDS if held[f] > 1 else DEMANDS[:1]:  # what stands once meets the first demand only
                     if meets(d, held[f], n):
                         yield i, (f, d)
 
@@ -251,18 +252,19 @@ def learn(sample: list[tuple[bytes, int]], total: dict[int, int], channel: Chann
     against: Counter[Rule] = Counter(f for _, f in rules_of(clean, {f for f, _ in of}))
     precision = {f: bound(len(d), weight * against[f]) for f, d in of.items()}
     open_, rules = np.ones(len(toxic)), {}  # a document counts a quarter for each rule that covers it
-    live = {f: float(len(d)) for f, d in of.items() if precision[f] >= LEAST_PRECISION}
-    while live and len(rules) < RULES:
-        # Most open documents for their precision; whole words before beginnings, longer beginnings before shorter ones
-        f = max(live, key=lambda f: (live[f] * precision[f] ** 4, not f[0].startswith("^"), len(f[0]), f))
+    # Most open documents for their precision; whole words before beginnings, longer beginnings before
+    # shorter ones, stricter demands before looser ones
+    rank = lambda f, n: (-n * precision[f] ** 4, f[0].startswith("^"), -len(f[0]), -f[1][1], -f[1][0], f, n)
+    heap = [rank(f, float(len(d))) for f, d in of.items() if precision[f] >= LEAST_PRECISION]
+    heapq.heapify(heap)
+    while heap and len(rules) < RULES:
+        *_, f, counted = heapq.heappop(heap)
         n = float(open_[of[f]].sum())
         common = precision[f] >= SURE or len(of[f]) >= COMMON * len(toxic)  # worth having though its documents are covered
-        if n < live[f]:  # counted before others were chosen
-            live[f] = n
-            if n < LEAST_COVER and not common:
-                del live[f]
+        if n < counted:  # counted before others were chosen
+            if n >= LEAST_COVER or common:
+                heapq.heappush(heap, rank(f, n))
             continue
-        del live[f]
         stem, own = f[0].lstrip("^"), set(of[f])
         kin = [g for g in rules if g[0].lstrip("^").startswith(stem) or g[0].startswith("^") and stem.startswith(g[0][1:])]
         if any(len(own.difference(of[g])) < max(LEAST_COVER, 0.1 * len(own)) for g in kin):
