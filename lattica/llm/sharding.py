@@ -6,6 +6,9 @@ between slots, so a later edit of the map moves whole slots and nothing else.
 
 All work on records is DataFrame code. The driver sees only the fixed-size slot table.
 
+Positions within a shard come from counts per slot and salt, so that no task numbers a whole slot, even where a
+third of all rows are one repeated record.
+
 Defined results: a null text has 0 bytes and the CRC-32 of the empty string; a null id hashes by its text;
 repeated rows share a slot and get positions of their own; an empty table gives an empty result; further
 columns of the input are ignored.
@@ -23,6 +26,7 @@ from pyspark.sql.window import Window
 from lattica.llm.common import shared_dir, stage, table
 
 SLOTS = 4096
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -86,14 +90,15 @@ def constant_lookup(values, index: Column, kind: str) -> Column:
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot of each record."""
+    """doc_id, size, text_crc32, virtual_slot of each record, and a salt."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     crc = F.crc32(F.encode(text, "utf-8"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), crc)), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64(F.col(id_col), crc, F.octet_length(text)), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
     )
 
 
@@ -101,26 +106,24 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store
     """doc_id, size, text_crc32, law, shard, slot (position in the shard), grown_shard, virtual_slot, map_version."""
     spark = docs.sparkSession
     records = stage(slotted(docs, slots, id_col, text_col), "slotted")
-    size, rows = [0] * slots, [0] * slots
-    for r in records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect():  # at most `slots` rows
-        size[r["virtual_slot"]], rows[r["virtual_slot"]] = r["bytes"], r["rows"]
+    counts = stage(records.groupBy("virtual_slot", "salt").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "slot-counts")  # slots * SALTS rows at most
+    size = [0] * slots
+    for r in counts.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect():  # at most `slots` rows
+        size[r["virtual_slot"]] = r["bytes"]
     slot_map = SlotMap.initial(slots, shards).rebalanced(size)
     slot_map.save(spark, store or f"{shared_dir(spark)}/slot-map")
-    base, filled = [0] * slots, [0] * shards
-    for s in range(slots):
-        k = slot_map.owner[s]
-        base[s], filled[k] = filled[k], filled[k] + rows[s]
-    v = F.col("virtual_slot")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return records.select(
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("shard", slot_map.lookup(F.col("virtual_slot"))).select("virtual_slot", "salt", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "salt").orderBy("doc_id", "text_crc32", "size"))
+    return records.withColumn("place", place).join(F.broadcast(base), ["virtual_slot", "salt"]).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        slot_map.lookup(v).alias("shard"),
-        (constant_lookup(base, v, "bigint") + place - 1).cast("long").alias("slot"),
+        "shard",
+        (F.col("base") + F.col("place") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        v,
+        "virtual_slot",
         F.lit(slot_map.version).alias("map_version"),
     )
 

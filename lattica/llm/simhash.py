@@ -7,7 +7,8 @@ minimum meets in some list; within a list the shared bytes of a pair are tallied
 dropped and the rest verified bit by bit. Lists are 2^24 long spread, where single bytes would give 256.
 
 A list emits a spanning forest of its links, never all pairs. A list above HOT entries is not worked through in
-one task: its rows go on to a second pass that deals blocks of it out as tiles.
+one task: a sample of the fingerprints shows which lists those are, and blocks of them are dealt out as tiles; one
+that the sample missed is passed on and dealt out in a second pass. Either way gives the same links.
 
 Defined results: no words (also null text) gives fingerprint zero, which links like any other; under four words
 the whole sequence is the one shingle; rows that share a doc_id are one document; a null doc_id gets the
@@ -18,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +37,7 @@ MOST_BITS = 4
 LEAST_BYTES = 8 - MOST_BITS
 HOT = 16384
 SMALL = 48
+SAMPLE = 64
 
 
 def covering() -> list[tuple[int, int, int]]:
@@ -188,14 +191,28 @@ def links(distinct: DataFrame) -> DataFrame:
     """a, b: links between representatives that span all links of the distinct fingerprints (fp, rep)."""
     byte = lambda p: F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = [F.shiftleft(F.lit(t).cast("long"), 24) + F.shiftleft(byte(i), 16) + F.shiftleft(byte(j), 8) + byte(k) for t, (i, j, k) in enumerate(TRIPLES)]
-    posted = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
-    found = stage(posted.mapInArrow(_work_lists, "a long, b long, key long, fp long, block long"), "lists")
-    hot = found.where("key is not null").select("key", "block", "fp", "a")
-    blocks = hot.groupBy("key").agg(F.max("block").alias("last"))
+    posted = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    seen = F.count("*") * SAMPLE
+    some = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SAMPLE)) == 0).select(F.explode(F.array(*keys)).alias("key"))
+    crowded = stage(some.groupBy("key").agg(seen.alias("n")).where(F.col("n") > HOT), "crowded")
+    parts = []
+    if not crowded.isEmpty():
+        blocks = F.ceil(F.col("n") / HOT)
+        rows = posted.join(crowded, "key").select("key", F.pmod(F.xxhash64("fp"), blocks).alias("block"), (blocks - 1).alias("last"), "fp", F.col("rep").alias("a"))
+        parts.append(_tiled(rows))
+        posted = posted.join(crowded, "key", "left_anti")
+    listed = posted.repartition("key").sortWithinPartitions("key")
+    found = stage(listed.mapInArrow(_work_lists, "a long, b long, key long, fp long, block long"), "lists")
+    missed = found.where("key is not null").select("key", "block", "fp", "a")
+    parts.append(_tiled(missed.join(missed.groupBy("key").agg(F.max("block").alias("last")), "key")))
+    return reduce(DataFrame.union, parts, found.where("key is null").select("a", "b"))
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Links within lists whose rows (key, block, last block, fp, a) are compared block by block."""
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    tiles = hot.join(blocks, "key").select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "a")
-    tiled = tiles.groupBy("key", "i", "j").applyInArrow(_work_tile, "a long, b long")
-    return found.where("key is null").select("a", "b").union(tiled)
+    tiles = rows.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "a")
+    return tiles.groupBy("key", "i", "j").applyInArrow(_work_tile, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,8 +59,9 @@ def test_links_of_crowded_lists_span_all(spark, monkeypatch):
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(700)], np.uint64)
     fp = np.unique(np.concatenate([base[rng.integers(0, 6, 700)] ^ flips, rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
     want = roots(len(fp), [(i, j) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= 4)])
-    for hot in (simhash.HOT, 20):  # 20: lists go on to the tiles
+    for hot, sample in ((simhash.HOT, 64), (20, 1), (20, 10**6)):  # lists; tiles that a sample shows; tiles of what it missed
         monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
         got = [(r.a, r.b) for r in simhash.links(fingerprints_as_table(spark, fp)).collect()]
         assert all(int(np.bitwise_count(fp[a] ^ fp[b])) <= 4 for a, b in got)
         assert roots(len(fp), got) == want
