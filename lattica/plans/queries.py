@@ -28,7 +28,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: _long_places(f(Tables(spark, sf_dir)))
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -36,6 +36,12 @@ def query(sql: str | None = None):
     return register
 
 
+def _long_places(df: DataFrame) -> DataFrame:
+    """Row numbers as longs, which they are in SQL."""
+    places = {c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int" and c in ("rank", "place", "sample")}
+    return df.withColumns(places) if places else df
+
+
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
