@@ -213,7 +213,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
                     t = Tokens.of(as_bytes(rows.column("text")))
                     train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(t.first))
                     parts.append(_merge([t.h], [t.cls], [train]))
-                    if len(parts) == 16:
+                    if len(parts) == 8:
                         parts = [_merge(*(list(x) for x in zip(*parts, strict=True)))]
         yield from done()
 
@@ -279,7 +279,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         order = np.argsort(key)
         key, c = key[order], own.column("c").to_numpy()[order]
         out = []
-        for batch in rows.combine_chunks().to_batches():
+        for batch in rows.to_batches():
             for part in slices(batch, "text"):
                 t = Tokens.of(as_bytes(part.column("text")))
                 count = c[np.searchsorted(key, t.h)]
