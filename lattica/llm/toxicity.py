@@ -3,7 +3,7 @@
 A character trigram model is counted over all documents. Spans that look disguised (look-alike signs inside a
 word, letters repeated three times or more, single letters spaced out) become lattices: each position offers its
 literal reading, the letters that it can stand for, and for a run of one letter one or two of it; separators
-between spaced letters may vanish. A Viterbi pass finds the reading of least cost under the model. The restored
+between spaced letters may vanish or be a word edge. A Viterbi pass finds the reading of least cost under the model. The restored
 text is scored by a rule list learned from the labelled sample: a word or word beginning that a text holds a number
 of times, or at a rate. Rules are chosen greedily by how many toxic documents not yet explained they cover, each with
 the lower confidence bound of its precision.
@@ -44,6 +44,8 @@ EDGE, OTHER, SIGN = 0, 27, 28
 SYMBOLS = 29
 STAND_IN_COST = 1.2
 DROP_COST = 0.3
+#: What a known word costs in a spaced run of several words, whatever its letters.
+KNOWN_COST = 6.0
 #: The letters that look-alike signs stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -99,49 +101,97 @@ def symbol(c: str) -> int:
     return o if 1 <= o <= 26 else OTHER if c.isalpha() else EDGE if c.isspace() else SIGN
 
 
+def _runs(span: str) -> list[int]:
+    """How often the character at each position stands from there on."""
+    runs = [1] * len(span)
+    for i in range(len(span) - 2, -1, -1):
+        if span[i] == span[i + 1]:
+            runs[i] = runs[i + 1] + 1
+    return runs
+
+
+def _arcs(span: str, spaced: bool, runs: list[int], i: int) -> list[tuple[str, float, int]]:
+    c, run = span[i], runs[i]
+    if spaced and c in SEPARATORS:
+        return [("", DROP_COST, i + 1), (" ", DROP_COST, i + 1)]
+    here = [(c, 0.0, i + 1)]
+    here += [(x, STAND_IN_COST if c != "*" else 2 * STAND_IN_COST, i + 1) for x in STANDS_FOR.get(c, "")]
+    if run > 2:
+        here += [(c * k, DROP_COST, i + run) for k in (1, 2)]
+        for x in STANDS_FOR.get(c, ""):
+            here.append((x, STAND_IN_COST + DROP_COST, i + run))
+    return here
+
+
 def lattice(span: str, spaced: bool) -> list[list[tuple[str, float, int]]]:
     """From each position: (output, cost, next position)."""
-    arcs: list[list[tuple[str, float, int]]] = []
-    for i, c in enumerate(span):
-        run = 1
-        while i + run < len(span) and span[i + run] == c:
-            run += 1
-        here = [(c, 0.0, i + 1)]
-        here += [(x, STAND_IN_COST if c != "*" else 2 * STAND_IN_COST, i + 1) for x in STANDS_FOR.get(c, "")]
-        if run > 2:
-            here += [(c * k, DROP_COST, i + run) for k in (1, 2)]
-            for x in STANDS_FOR.get(c, ""):
-                here.append((x, STAND_IN_COST + DROP_COST, i + run))
-        if spaced and c in " .-_*":
-            here = [("", DROP_COST, i + 1)]
-        arcs.append(here)
-    return arcs
+    runs = _runs(span)
+    return [_arcs(span, spaced, runs, i) for i in range(len(span))]
+
+
+def _written(out: tuple | None) -> str:
+    parts = []
+    while out is not None:
+        out, text = out
+        parts.append(text)
+    return "".join(reversed(parts))
 
 
 def viterbi(span: str, cost: np.ndarray, spaced: bool, known: dict[str, float]) -> str:
-    """The reading of least cost; a reading that is one of the known words pays less."""
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(span) + 1)]
-    beams: list[dict[str, float]] = [{} for _ in range(len(span) + 1)]
-    best[0][(EDGE, EDGE)] = (0.0, "")
-    beams[0][""] = 0.0
-    for i, arcs in enumerate(lattice(span, spaced)):
-        for (a, b), (c0, out) in best[i].items():
+    """The reading of least cost. A span that can be read as one known word is that word; in a spaced span a known
+    word between two edges pays KNOWN_COST in place of the model's cost."""
+    runs, end = _runs(span), len(span)
+
+    def words_from(start: int) -> Iterator[tuple[int, str, float]]:
+        """Known words that can be read from a position: (next position, word, cost)."""
+        beams: dict[int, dict[str, float]] = {start: {"": 0.0}}
+        while beams:
+            i = min(beams)
+            for out, c0 in beams.pop(i).items():
+                if known.get(out):
+                    yield i, out, c0
+                for text, c, j in _arcs(span, spaced, runs, i) if i < end else ():
+                    if (grown := out + text) in known and c0 + c < (held := beams.setdefault(j, {})).get(grown, 1e9):
+                        held[grown] = c0 + c
+
+    if known and (whole := [(c, out) for j, out, c in words_from(0) if j == end]):
+        return min(whole)[1]
+    # States (the last two symbols) of the positions ahead, with cost and the way there as a chain
+    best: dict[int, dict[tuple[int, int], tuple[float, tuple | None]]] = {0: {(EDGE, EDGE): (0.0, None)}}
+    done: list[str] = []
+
+    def reach(j: int, state: tuple[int, int], total: float, out: tuple | None) -> None:
+        held = best.setdefault(j, {})
+        if state not in held or total < held[state][0]:
+            held[state] = (total, out)
+
+    for i in range(end):
+        if i not in best:
+            continue
+        states = best.pop(i)
+        if len(states) == 1 and not best:  # every reading goes through here
+            ((state, (_, out)),) = states.items()
+            done.append(_written(out))
+            states = {state: (0.0, None)}
+        arcs = _arcs(span, spaced, runs, i)
+        for (a, b), (c0, out) in states.items():
             for text, c, j in arcs:
                 x, y, total = a, b, c0 + c
                 for ch in text:
                     z = symbol(ch)
                     total += cost[x, y, z]
                     x, y = y, z
-                if (x, y) not in best[j] or total < best[j][(x, y)][0]:
-                    best[j][(x, y)] = (total, out + text)
-        for out in list(beams[i]):  # readings that can still become a known word
-            for text, c, j in arcs:
-                if (grown := out + text) in known and beams[j].get(grown, 1e9) > beams[i][out] + c:
-                    beams[j][grown] = beams[i][out] + c
-    ends = [(c + cost[a, b, EDGE], out) for (a, b), (c, out) in best[-1].items()]
-    found = min(ends)[1] if ends else span
-    whole = [(c, out) for out, c in beams[-1].items() if known.get(out)]
-    return min(whole)[1] if whole else found
+                reach(j, (x, y), total, (out, text) if text else out)
+        starts = [(c0, out) for (_, b), (c0, out) in states.items() if b == EDGE] if spaced and known else []
+        if starts:
+            c0, out = min(starts, key=lambda x: x[0])
+            for j, word, c in words_from(i):
+                if j == end:
+                    reach(j, (EDGE, EDGE), c0 + c + KNOWN_COST, (out, word))
+                elif span[j] in SEPARATORS and not word.endswith(" "):
+                    reach(j + 1, (symbol(word[-1]), EDGE), c0 + c + KNOWN_COST + DROP_COST, (out, word + " "))
+    ends = [(c + (cost[a, b, EDGE] if b != EDGE else 0.0), out) for (a, b), (c, out) in best.get(end, {}).items()]
+    return "".join(done) + _written(min(ends, key=lambda x: x[0])[1]) if ends else span
 
 
 @dataclass
@@ -172,12 +222,13 @@ class Channel:
         """The reading of a token in which a sign touches a letter or a letter stands three times over."""
         key = "\0" + token
         if (out := self.memory.get(key)) is None:
-            out = self.memory[key] = self.read(token.strip("\"'.,;:?#%&()[]{}-_~^=/\\<>").rstrip("!$*+|"), False)
+            out = self.read(token.strip("\"'.,;:?#%&()[]{}-_~^=/\\<>").rstrip("!$*+|"), False)
+            self.memory[key] = out
         return out
 
     def restorations(self, texts: list[bytes]) -> list[str]:
         """For each text, the readings of its disguised spans, joined by lines."""
-        joined = b"\n" + b"\n".join([*texts, b""])
+        joined = b"\n" + b"\n\n".join([*texts, b""])  # two signs apart, so that no run goes on into the next text
         raw = np.frombuffer(joined.lower(), np.uint8)
         letter, sign = _IS_LETTER[raw], _IS_SIGN[raw]
         touch = np.flatnonzero(letter[:-1] & sign[1:] | sign[:-1] & letter[1:])
@@ -194,7 +245,7 @@ class Channel:
         if len(run):
             cut = np.flatnonzero(np.diff(run) != 2) + 1
             spans += [(a, b + 5, True) for a, b in zip(run[np.concatenate([[0], cut])].tolist(), run[np.concatenate([cut - 1, [len(run) - 1]])].tolist(), strict=True)]
-        ends = np.cumsum([len(t) + 1 for t in texts])
+        ends = np.cumsum([len(t) + 2 for t in texts])
         out: list[list[str]] = [[] for _ in texts]
         for (a, b, spaced), i in zip(spans, np.searchsorted(ends, [x[0] - 1 for x in spans], "right").tolist(), strict=True):
             t = joined[a:b].decode("utf-8", "replace").lower()
