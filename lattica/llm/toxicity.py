@@ -3,7 +3,7 @@
 A character trigram model is counted over all documents. Spans that look disguised (look-alike signs inside a
 word, letters repeated three times or more, single letters spaced out) become lattices: each position offers its
 literal reading, the letters that it can stand for, and for a run of one letter one or two of it; separators
-between spaced letters may vanish or be a word edge. A Viterbi pass finds the reading of least cost under the model. The restored
+between spaced letters may vanish or be a word edge, and spans may have any length. A Viterbi pass finds the reading of least cost under the model. The restored
 text is scored by a rule list learned from the labelled sample: a word or word beginning that a text holds a number
 of times, or at a rate. Rules are chosen greedily by how many toxic documents not yet explained they cover, each with
 the lower confidence bound of its precision.
@@ -53,7 +53,8 @@ STANDS_FOR = {
 }
 _LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{_LETTER}+")
-LONGEST_SPAN = 64
+#: Readings of spans up to this length are kept for the next time.
+LONGEST_KEPT = 64
 SEPARATORS = " .-_*"
 _IS_LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 _IS_SIGN = np.isin(np.arange(256), [ord(c) for c in STANDS_FOR if c.isascii()])
@@ -210,8 +211,8 @@ class Channel:
             self.known[w] = 1.0
 
     def read(self, span: str, spaced: bool) -> str:
-        if len(span) > LONGEST_SPAN:
-            return span
+        if len(span) > LONGEST_KEPT:
+            return viterbi(span, self.cost, spaced, self.known)
         if (out := self.memory.get(span)) is None:
             if len(self.memory) > 200_000:
                 self.memory.clear()
@@ -223,7 +224,8 @@ class Channel:
         key = "\0" + token
         if (out := self.memory.get(key)) is None:
             out = self.read(token.strip("\"'.,;:?#%&()[]{}-_~^=/\\<>").rstrip("!$*+|"), False)
-            self.memory[key] = out
+            if len(token) <= LONGEST_KEPT:
+                self.memory[key] = out
         return out
 
     def restorations(self, texts: list[bytes]) -> list[str]:

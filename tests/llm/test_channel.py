@@ -23,6 +23,14 @@ def test_words_within_a_spaced_run(model):
     assert (score[: 3 * len(bad)] >= 0.5).all() and (score[3 * len(bad) :] < 0.5).all()
 
 
+def test_spans_of_any_length(model):
+    kind = "a kind and gentle reader indeed "
+    bad = [spaced(kind * 3 + "you are a moron " + kind * 3), "reader-" * 30 + "m0r0n" + "-reader" * 30, "x" * 5000 + "-m0r0n", "m" + "o" * 5000 + "ron"]
+    good = [spaced(kind * 6), "reader-" * 60 + "r3ader", "a" * 5000, "1" * 20000 + "a"]
+    score = model.scores([t.encode() for t in bad + good])
+    assert (score[: len(bad)] >= 0.5).all() and (score[len(bad) :] < 0.5).all()
+
+
 def test_spaced_reading_equals_all_paths():
     rng = np.random.default_rng(0)
     cost = rng.random((toxicity.SYMBOLS,) * 3) * 5
