@@ -137,6 +137,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     seed_rows, item_tokens = seed_table(items)
     filt = spark.sparkContext.broadcast(bloom(seed_rows))
+    # Wide enough for every alignment that a hit can belong to, so that only the document's ends cut one
+    around = max(AROUND, item_tokens.agg(F.max(F.size("tokens"))).first()[0] or 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region = TaskContext.get().partitionId() << 40
@@ -151,18 +153,18 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 at, s = at[order], s[order]
                 doc = np.searchsorted(first, at, "right") - 1
                 # Hits of one document whose surroundings meet are one region
-                new = np.concatenate([[True], (np.diff(at) > 2 * AROUND) | (np.diff(doc) > 0)])
+                new = np.concatenate([[True], (np.diff(at) > 2 * around) | (np.diff(doc) > 0)])
                 head = np.flatnonzero(new)
                 tail = np.append(head[1:], len(at)) - 1
-                low, high = np.maximum(at[head] - AROUND, first[doc[head]]), np.minimum(at[tail] + AROUND, first[doc[head] + 1])
+                low, high = np.maximum(at[head] - around, first[doc[head]]), np.minimum(at[tail] + around, first[doc[head] + 1])
                 size = high - low
                 ends = np.cumsum(size)
-                around = np.arange(size.sum()) + np.repeat(low - (ends - size), size)
+                held = np.arange(size.sum()) + np.repeat(low - (ends - size), size)
                 own = np.cumsum(new) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(region + np.arange(len(head))), part.column("doc_id").take(pa.array(doc[head])), pa.array(low - first[doc[head]]),
-                        _lists(h[around].view(np.int64), ends), _lists(at - low[own], tail + 1), _lists(s.view(np.int64), tail + 1),
+                        _lists(h[held].view(np.int64), ends), _lists(at - low[own], tail + 1), _lists(s.view(np.int64), tail + 1),
                     ],
                     names=["region", "doc_id", "low", "tokens", "at", "hash"],
                 )
