@@ -4,20 +4,25 @@ Two machines run one after the other over a buffer of texts:
 
 1. The splitter, a DFA with eight states over nine symbols (character classes with the look-ahead that the
    split pattern needs folded in). The buffer is cut into chunks of equal length; every chunk computes its state
-   map (end state for each start state) in lockstep with all others, the maps compose by a parallel prefix scan,
-   and a second pass from the now known start states marks where pieces begin.
+   map (end state for each start state) in lockstep with all others, and the maps compose by a parallel prefix
+   scan. For counts the maps carry, beside the end state, the tokens of the pieces that start in the chunk, and
+   both compose together (`counts_of`); for ids a second pass from the known start states marks where pieces begin.
 2. The piece transducer, over strides of up to eight bytes. A transition that does not end a piece leads to a
    state and emits nothing; a transition that ends one emits the piece's tokens and returns to the start. Its
-   transitions are compiled on first use from the vocabulary and kept in an open-addressing table, which is
-   emptied when `capacity` is reached, so memory is bounded whatever the corpus.
+   transitions are compiled on first use from the vocabulary (each with the tokens that the library's own model
+   gives its piece) and kept in an open-addressing table. The table is emptied when `capacity` is reached, and
+   within one buffer it stops growing at three quarters of its slots: pieces that find no room are encoded one by
+   one. So memory is bounded by the table and the buffer, and every probe ends.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import tiktoken
 from tokenizers import Tokenizer
 
 L, N, O, A1, A2, SPACE_THEN, WS_THEN, WS, END = range(9)
@@ -26,8 +31,10 @@ SPACE_CLASS, WS_CLASS = SPACE_THEN, WS
 STARTS = 16
 CHUNK = 64
 LONGEST = 256
-#: Fixed value: the split pattern of the byte-level pre-tokenizer.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text that are worked through at once.
+WINDOW = 1 << 20
+#: Places where a piece starts whatever stands before: white space, then a visible character.
+SAFE = re.compile(rb"[ \t\n\r](?=[!-~\xe4-\xe9])")
 
 
 def _transition(state: int, symbol: int) -> int:
@@ -54,20 +61,52 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def chunk_maps(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk the state after it by the state before it, and for each symbol a bit for every state before
+    its chunk under which a piece starts there. All chunks run in lockstep, all eight states at once."""
+    n = len(symbols)
+    lanes = -(-n // CHUNK)
+    grid = np.full(lanes * CHUNK, END, np.uint8)
+    grid[:n] = symbols
+    grid = np.ascontiguousarray(grid.reshape(lanes, CHUNK).T)
+    maps = np.tile(np.arange(8, dtype=np.uint8), (lanes, 1))
+    begun = np.empty_like(grid)
+    for row, out in zip(grid, begun, strict=True):
+        maps *= 9
+        maps += row[:, None]
+        both = STEP[maps]
+        out[:] = np.packbits(both >= STARTS, axis=1, bitorder="little")[:, 0]
+        maps = both & np.uint8(7)
+    return maps, begun.T.ravel()[:n]
+
+
+@dataclass
+class Buffer:
+    """Some texts, each followed by an end."""
+
+    joined: bytes
+    at: np.ndarray  # place of each symbol among the bytes (and the end)
+    symbols: np.ndarray
+    closing: np.ndarray  # symbols that stand for an end or a special token
+    marks: dict[int, int]  # special tokens: piece by first symbol
+    first: np.ndarray  # the first symbol of each text (and the end)
+
+
 class BpeTransducer:
     def __init__(self, path: str, capacity: int = 1 << 20):
         spec = json.load(open(path, encoding="utf-8"))
-        of = byte_alphabet()
-        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.special = special
-        self.encode_piece = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        library = Tokenizer.from_file(path)
+        self.model, self.split = library.model, library.pre_tokenizer.pre_tokenize_str
+        self.printable = {b: c for c, b in byte_alphabet().items()}
         self.classes = np.full(0x110000, 255, np.uint8)
         self.slots = 1 << (2 * capacity - 1).bit_length()
         self.capacity = capacity
         self._clear()
 
+    def encode_piece(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.printable))]
+
     def _clear(self) -> None:
         self.k1, self.k2, self.to = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.used, self.states = 0, 1
@@ -195,6 +234,13 @@ class BpeTransducer:
                 keys = np.empty(len(new), [("a", np.uint64), ("b", np.uint64)])
                 keys["a"], keys["b"] = k1[new], k2[new]
                 own, first, back = np.unique(keys, return_index=True, return_inverse=True)
+                if self.used + len(own) > self.slots * 3 // 4:  # no room left in this buffer
+                    for j in live[new].tolist():
+                        out[j] = self._emit(self.encode_piece(buffer[begin[j] : begin[j] + size[j]]))
+                    kept = to >= 0
+                    live, to, last = live[kept], to[kept], last[kept]
+                    new = new[:0]
+            if len(new):
                 target = np.empty(len(own), np.int32)
                 for i, j in enumerate(live[new[first]].tolist()):
                     if own["b"][i] & np.uint64(1):
@@ -210,11 +256,7 @@ class BpeTransducer:
             out[j] = self._emit(self.encode_piece(buffer[begin[j] : begin[j] + size[j]]))
         return out
 
-    def run(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The piece of each split, the index of each text's first split (and the end), and the last byte of each split.
-
-        Texts are UTF-8. Strings of special tokens inside a text are special tokens, as in the library.
-        """
+    def _read(self, texts: list[bytes]) -> Buffer:
         if self.used > self.capacity or self.held > 8 * self.capacity:
             self._clear()
         joined = b"\n".join([*texts, b""])
@@ -224,32 +266,122 @@ class BpeTransducer:
         at = np.cumsum(width)
         at -= width
         stop = np.cumsum([len(t) + 1 for t in texts]) - 1  # the byte that separates
-        ends = np.searchsorted(at, stop)
+        last = np.searchsorted(at, stop)
         marks: dict[int, int] = {}
+        ends = [last]
         for k, s in enumerate(self.special):
             i = text.find(s)
             while i >= 0:
                 marks[i] = k + 1
-                ends = np.append(ends, np.arange(i, i + len(s)))
+                ends.append(np.arange(i, i + len(s)))
                 i = text.find(s, i + len(s))
-        starts = self.starts(self._symbols(points, ends))
-        begin = at[starts]
-        size = np.diff(np.append(begin, len(joined)))
+        ends = np.concatenate(ends)
         closing = np.zeros(len(points), bool)
         closing[ends] = True
-        size[closing[starts]] = 0
-        out = self._pieces_of(joined + bytes(8), begin, size)
-        for i, k in marks.items():
-            out[np.searchsorted(starts, i)] = k
-        first = np.searchsorted(begin, np.concatenate([[0], stop + 1]))
-        raw = np.frombuffer(joined, np.uint8)
-        return out, first, raw[np.maximum(begin + size - 1, 0)] * (size > 0)
+        return Buffer(joined, np.append(at, len(joined)), self._symbols(points, ends), closing, marks, np.concatenate([[0], last + 1]))
+
+    def _pieces_at(self, b: Buffer, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The pieces that lie between these symbols (begin rising)."""
+        size = b.at[end] - b.at[begin]
+        size[b.closing[begin]] = 0
+        out = self._pieces_of(b.joined + bytes(8), b.at[begin], size)
+        for i, k in b.marks.items():
+            out[np.searchsorted(begin, i)] = k
+        return out
+
+    def windows(self, texts: list[bytes], most: int = WINDOW) -> Iterator[tuple[list[bytes], list[int]]]:
+        """Runs of parts of texts with about `most` bytes, and the text that each part is of.
+
+        Long texts are cut where a piece starts in any case, so parts have the tokens of the whole.
+        """
+        held, owner, n = [], [], 0
+        whole = any(re.search(r"\s", s) for s in self.special)
+        for i, t in enumerate(texts):
+            begin = 0
+            while begin is not None:
+                place = SAFE.search(t, begin + most) if not whole and len(t) - begin > most else None
+                stop = place.start() if place else len(t)
+                if held and n + stop - begin > most:
+                    yield held, owner
+                    held, owner, n = [], [], 0
+                held.append(t[begin:stop])
+                owner.append(i)
+                n += stop - begin
+                begin = stop if place else None
+        if held:
+            yield held, owner
+
+    def tokens_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of all texts; of each piece the number of tokens and the last byte (0 at the end of a text or
+        part); and the index of each text's first piece (and the end).
+
+        Texts are UTF-8. Strings of special tokens inside a text are special tokens, as in the library.
+        """
+        ids, counts, final, of = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)], [np.empty(0, np.int64)]
+        for parts, owner in self.windows(texts):
+            b = self._read(parts)
+            starts = self.starts(b.symbols)
+            stops = np.append(starts[1:], len(b.symbols))
+            pieces = self._pieces_at(b, starts, stops)
+            ids.append(self.ids_of(pieces))
+            counts.append(self.counts[pieces].astype(np.int64))
+            final.append(np.frombuffer(b.joined, np.uint8)[b.at[stops] - 1] * ~b.closing[starts])
+            of.append(np.array(owner)[np.searchsorted(b.first, starts, "right") - 1])
+        return *(np.concatenate(x) for x in (ids, counts, final)), np.searchsorted(np.concatenate(of), np.arange(len(texts) + 1))
 
     def counts_of(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text."""
-        pieces, first, _ = self.run(texts)
-        total = np.concatenate([[0], np.cumsum(self.counts[pieces], dtype=np.int64)])
-        return np.diff(total[first])
+        out = np.zeros(len(texts), np.int64)
+        for parts, owner in self.windows(texts):
+            np.add.at(out, owner, self._counts(parts))
+        return out
+
+    def _counts(self, texts: list[bytes]) -> np.ndarray:
+        """Tokens of each text of a window, by composing count-annotated chunk maps.
+
+        What follows the start of a piece depends on its first symbol only. So a piece has one extent and one
+        emission whatever the state its chunk began in, and a chunk is a map from each start state to the state at
+        its end and the tokens of the pieces that start inside it. These maps compose by a prefix scan.
+        """
+        b = self._read(texts)
+        n = len(b.symbols)
+        maps, begun = chunk_maps(b.symbols)  # lanes x 8; bit s: a piece starts here if the chunk began in state s
+        lanes = len(maps)
+        somewhere = np.flatnonzero(begun)
+        bits = begun[somewhere]
+        lane = somewhere // CHUNK
+        end = np.zeros(len(somewhere), np.int64)
+        own = [np.flatnonzero(bits >> s & 1) for s in range(8)]
+        first = np.full((lanes + 1, 8), -1, np.int64)  # the first start in a chunk, by start state
+        first[lanes] = n
+        for s, mine in enumerate(own):
+            head = np.flatnonzero(np.diff(lane[mine], prepend=-1))
+            first[lane[mine[head]], s] = somewhere[mine[head]]
+        for s, mine in enumerate(own):
+            end[mine[:-1]] = somewhere[mine[1:]]
+            tail = mine[np.flatnonzero(np.diff(lane[mine], append=lanes))]
+            at, state = lane[tail] + 1, maps[lane[tail], s]
+            while len(open_ := np.flatnonzero(first[at, state] < 0)):  # no piece starts in the chunk that follows
+                state[open_] = maps[at[open_], state[open_]]
+                at[open_] += 1
+            end[tail] = first[at, state]
+        pieces = self._pieces_at(b, somewhere, end)  # may move the counts
+        tokens = self.counts[pieces].astype(np.int64)
+        emitted = np.stack([np.bincount(lane[mine], tokens[mine], lanes) for mine in own], 1).astype(np.int64)
+        d = 1
+        while d < lanes:  # after each round a map covers the 2d chunks that end with its own
+            left = maps[:-d].astype(np.intp)
+            emitted[d:] = emitted[:-d] + np.take_along_axis(emitted[d:], left, 1)
+            maps[d:] = np.take_along_axis(maps[d:], left, 1)
+            d *= 2
+        state = np.concatenate([[FRESH], maps[:-1, FRESH]])
+        before = np.concatenate([[0], emitted[:-1, FRESH]])
+        real = np.flatnonzero(bits >> state[lane] & 1)
+        inside = np.concatenate([[0], np.cumsum(tokens[real])])
+        place = np.searchsorted(somewhere[real], b.first[:-1])  # the first piece of each text
+        chunk = b.first[:-1] // CHUNK
+        total = before[chunk] + inside[place] - inside[np.searchsorted(lane[real], chunk)]
+        return np.diff(np.append(total, emitted[-1, FRESH]))
 
     def ids_of(self, pieces: np.ndarray) -> np.ndarray:
         """The tokens that these pieces emit, in order."""

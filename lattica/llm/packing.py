@@ -156,8 +156,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = 0
         for batch in batches:
             kinds[:] = [batch.schema.field("doc_id").type]
             for part in slices(batch, "text"):
-                pieces, first, final = bpe.run(as_bytes(part.column("text")))
-                ids, n = bpe.ids_of(pieces), np.concatenate([[0], np.cumsum(bpe.counts[pieces], dtype=np.int64)])
+                ids, counts, final, first = bpe.tokens_of(as_bytes(part.column("text")))
+                n = np.concatenate([[0], np.cumsum(counts)])
                 breaks = n[1:][SENTENCE_ENDS[final]]
                 bounds = n[first]
                 cut = np.searchsorted(breaks, bounds, "right")

@@ -7,7 +7,7 @@ import pytest
 from cases import EDGE, edge_docs, empty_docs, key, vocabulary
 from tokenizers import Tokenizer
 
-from lattica.llm.bpe import BpeTransducer
+from lattica.llm.bpe import BpeTransducer, machine
 from lattica.llm.packing import best_cuts, candidates, pack
 from lattica.llm.token_counts import count_tokens
 
@@ -28,8 +28,9 @@ def test_transducer_gives_the_librarys_tokens(library):
     texts, bpe = sample(), BpeTransducer(vocabulary())
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time with warm transitions
-        pieces, first, _ = bpe.run([t.encode() for t in texts])
-        assert [bpe.ids_of(pieces[a:b]).tolist() for a, b in zip(first, first[1:], strict=False)] == want
+        ids, counts, _, first = bpe.tokens_of([t.encode() for t in texts])
+        end = np.concatenate([[0], np.cumsum(counts)])[first]
+        assert [ids[a:b].tolist() for a, b in zip(end, end[1:], strict=False)] == want
     assert bpe.counts_of([t.encode() for t in texts]).tolist() == [len(x) for x in want]
 
 
@@ -40,8 +41,33 @@ def test_transducer_survives_a_full_table(library):
 
 
 def test_state_maps_compose_over_long_runs(library):
-    text = "word " * 40_000 + "'s" * 3000 + " " * 5000 + "end"
-    assert BpeTransducer(vocabulary()).counts_of([text.encode()])[0] == len(library.encode(text, add_special_tokens=False).ids)
+    bpe = BpeTransducer(vocabulary())
+    for text in ("word " * 40_000 + "'s" * 3000 + " " * 5000 + "end", "y" * 700 + "1" * 129 + "'" * 300 + "'re" * 99, "x" * 63 + " a", "x" * 64 + "'ll"):
+        assert bpe.counts_of([text.encode(), b"", text.encode()]).tolist() == [len(library.encode(text, add_special_tokens=False).ids), 0, len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_no_text_fills_the_table(library):
+    """One text of more different words than the table has room for, small and at the real capacity (20 MB)."""
+    r = random.Random(5)
+    words = [f"{r.getrandbits(40):x}" for _ in range(1_850_000)]
+    for capacity, own in ((64, words[:3000]), (1 << 20, words)):
+        bpe, text = BpeTransducer(vocabulary(), capacity=capacity), " ".join(own).encode()
+        parts = [" ".join(own[i : i + 50_000]) for i in range(0, len(own), 50_000)]
+        want = [i for k, p in enumerate(parts) for i in library.encode((" " if k else "") + p, add_special_tokens=False).ids]
+        ids, counts, _, first = bpe.tokens_of([text])
+        assert ids.tolist() == want and counts.sum() == len(want) and first.tolist() == [0, len(counts)]
+        assert bpe.counts_of([text]).tolist() == [len(want)] and bpe.used <= bpe.slots * 3 // 4
+        assert bpe._counts([text[:4_000_000]]).tolist() == bpe.counts_of([text[:4_000_000]]).tolist()
+
+
+def test_long_texts_are_cut_where_pieces_start(library):
+    """A window of 16 bytes cuts nearly everywhere that a cut is allowed."""
+    texts = sample(200)
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        bpe = machine(vocabulary())
+        parts = [p for ps, _ in bpe.windows([text.encode()], most=16) for p in ps]
+        assert b"".join(parts) == text.encode()
+        assert bpe._counts(parts).sum() == len(want.ids)
 
 
 def test_count_tokens(spark, library):
