@@ -13,14 +13,26 @@ _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share; where it is unset, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or what SparkContext.setCheckpointDir was given.
+
+    Only a local master, whose executors are this process, may do without: it gets a folder of its own.
+    """
     global _own
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        return given.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     _own = _own or "file://" + tempfile.mkdtemp(prefix="lattica-")
     return _own
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows once to the shared folder and reads them back, which cuts the lineage.
 
@@ -30,17 +42,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again; what staged() didn't return is left alone."""
+    for df in tables:
+        if path := getattr(df, "_staged_path", None):
+            _delete(df.sparkSession, path)
+            if path in _written:
+                _written.remove(path)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what this driver has staged (after mark `since`); call it when the results that read it are written.
+    Gives the number."""
+    n = len(_written) - since
+    while len(_written) > since:
+        _delete(spark, _written.pop())
+    return n
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Deletes what this driver has staged; call it when the results that read it are written. Gives the number."""
-    jvm = spark.sparkContext._jvm
-    n = len(_written)
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    return n
+def staged_mark() -> int:
+    """How much is staged now, for drop_staged to go back to."""
+    return len(_written)
 
 
 class VersionedTables:
