@@ -8,10 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.sources.tables import discard
 from lattica.sources.tables import shared_folder as shared_dir
 from lattica.sources.tables import staged as stage
 
-__all__ = ["as_bytes", "filter_texts", "shared_dir", "slices", "stage", "table"]
+__all__ = ["as_bytes", "discard", "filter_texts", "hash_runs", "mix", "shared_dir", "slices", "stage", "table"]
+
+_BYTE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,26 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def hash_runs(joined: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes, from all of their bytes: eight at a time, all runs in lockstep."""
+    eights = np.ndarray((len(joined) + 1,), "<u8", joined + bytes(8), strides=(1,))
+    h = size.astype(np.uint64)
+    live, done = np.flatnonzero(size > 0), 0
+    while len(live):
+        n = np.minimum(size[live] - done, 8)
+        h[live] = mix(h[live] * np.uint64(0x9E3779B97F4A7C15) + (eights[begin[live] + done] & _BYTE_MASK[n]))
+        done += 8
+        live = live[size[live] > done]
+    return h
+
+
 def filter_texts(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows whose text `keep` accepts, with all their columns: a narrow map."""
 

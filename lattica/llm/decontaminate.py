@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import as_bytes, slices, stage, table
+from lattica.llm.common import as_bytes, hash_runs, mix, slices, stage, table
 
 #: Token positions that each seed looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 5, 6), (0, 2, 3, 4, 5), (0, 1, 2, 7, 8))
@@ -34,15 +34,6 @@ SHORTEST = 5
 MOST_FILTER_BITS = 27
 AROUND = WINDOW + max(map(max, MASKS))
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (len(MASKS), 5), dtype=np.uint64) | np.uint64(1)
-_BYTE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +48,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             word[at + k] = False
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
     begin, size = edge[::2], edge[1::2] - edge[::2]
-    eights = np.ndarray((len(joined) + 1,), "<u8", joined + bytes(8), strides=(1,))
-    h = size.astype(np.uint64)
-    live, done = np.arange(len(begin)), 0
-    while len(live):
-        n = np.minimum(size[live] - done, 8)
-        h[live] = _mix(h[live] * np.uint64(0x9E3779B97F4A7C15) + (eights[begin[live] + done] & _BYTE_MASK[n]))
-        done += 8
-        live = live[size[live] > done]
+    h = hash_runs(joined, begin, size)
     return h, np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])]))
 
 
@@ -79,7 +63,7 @@ def seeds(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         for f, o in zip(factors, mask, strict=True):
             s += h[o : o + n] * f
         at = np.flatnonzero(np.arange(n) + mask[-1] < end[:n])
-        yield at, _mix(s[at])
+        yield at, mix(s[at])
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import as_bytes, slices, stage, table
+from lattica.llm.common import as_bytes, hash_runs, mix, slices, stage, table
 from lattica.llm.labels import held_out
 
 FOLDS = 10
@@ -46,16 +46,9 @@ ROUNDS = 2
 BATCH = 8192
 RATE = 0.2
 END_HASH = np.uint64(0x5EED_E17D_0F7E_7E17)
-_BYTE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 @dataclass
 class Tokens:
     """The tokens of some texts, an end after each: hash, class, and where each text's begin (and the end)."""
@@ -73,14 +66,7 @@ class Tokens:
         edge = np.flatnonzero(dark[1:] != dark[:-1])
         begin, stop = edge[::2], edge[1::2]
         size = stop - begin
-        eights = np.ndarray((len(joined) + 1,), "<u8", joined + bytes(8), strides=(1,))
-        h = size.astype(np.uint64)
-        live, done = np.arange(len(begin)), 0
-        while len(live):
-            n = np.minimum(size[live] - done, 8)
-            h[live] = _mix(h[live] * np.uint64(0x9E3779B97F4A7C15) + (eights[begin[live] + done] & _BYTE_MASK[n]))
-            done += 8
-            live = live[size[live] > done]
+        h = hash_runs(joined, begin, size)
         tail = raw[stop - 1].astype(np.int64) * 257 + raw[np.maximum(stop - 2, begin)]
         words = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))
         doc = np.searchsorted(words, np.arange(len(begin)), "right")
@@ -104,7 +90,7 @@ class Tokens:
         bins = np.uint64(BINS)
         out = np.empty((len(self.h), FEATURES), np.int32)
         out[:, 0] = h1 % bins
-        out[:, 1] = BINS + (_mix(h1 * np.uint64(3) + h2 * np.uint64(7)) % bins).astype(np.int32)
+        out[:, 1] = BINS + (mix(h1 * np.uint64(3) + h2 * np.uint64(7)) % bins).astype(np.int32)
         out[:, 2] = 2 * BINS + (h2 >> np.uint64(20)) % bins
         out[:, 3] = 3 * BINS + (c[one].astype(np.int32) * CLASSES + c[two]) % BINS
         return out

@@ -3,7 +3,8 @@
 Terms are the byte-class trigrams of a text, its hashed words, and how often its words repeat. TF-IDF rows of the
 labelled sample give the latent axes (truncated SVD); the labelled vectors are broadcast (at most 2 * per_class
 rows of `rank` numbers) and every document takes exact cosine products with all of them, block by block. Its
-`neighbours` nearest vote with their similarity, each label weighted so that the sample counts as the whole fold.
+`neighbours` nearest, and those that tie with the last of them, vote with their similarity, each label weighted so
+that the sample counts as the whole fold.
 
 Defined results: a null text is scored as empty; rows with a null doc_id are scored and not held out; repeated rows
 are scored each; with labels of one kind only, every score is that label, with none 0.5; an empty table gives no
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import as_bytes, filter_texts, slices, table
+from lattica.llm.common import as_bytes, filter_texts, hash_runs, slices, table
 from lattica.llm.labels import held_out, labelled_sample
 
 RANK = 64
@@ -57,7 +58,6 @@ CLASSES, N_CLASSES = _byte_classes()
 SHAPE_BINS = 2048
 TERMS = SHAPE_BINS + WORD_BINS + REPEAT_BINS
 SHAPES = (np.arange(N_CLASSES**3) * 0x9E3779B1 >> 7) % SHAPE_BINS
-MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
@@ -81,15 +81,7 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return out
-    # A word is hashed by its first and last eight bytes (without case) and its length
-    low = bytes(16) + joined.lower() + bytes(8)
-    words = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
-    length = end - begin
-    keep = np.minimum(length, 8)
-    h = (words[begin + 16] & MASKS[keep]) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= (words[end + 8] >> ((8 - keep) * 8).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + length.astype(np.uint64)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = hash_runs(joined.lower(), begin, end - begin)
     h >>= np.uint64(24)  # 40 bits
     of_doc = np.searchsorted(np.cumsum(size), begin, "right")
     out[:, SHAPE_BINS : SHAPE_BINS + WORD_BINS] = np.bincount(of_doc * WORD_BINS + (h % np.uint64(WORD_BINS)).astype(np.int64), minlength=n * WORD_BINS).reshape(n, -1)
@@ -125,11 +117,9 @@ class Voter:
         for i in range(0, len(texts), ROWS):
             near = self.latent(term_counts(texts[i : i + ROWS])) @ self.vectors.T
             k = min(self.neighbours, near.shape[1])
-            top = np.argpartition(near, -k, axis=1)[:, -k:]
-            vote = np.maximum(np.take_along_axis(near, top, 1), 1e-6).astype(np.float64) ** 8
-            good = self.labels[top] == 1
-            w = vote * np.where(good, self.weights[1], self.weights[0])
-            out[i : i + len(near)] = (w * good).sum(1) / w.sum(1)
+            row, top = np.nonzero(near >= np.partition(near, -k, axis=1)[:, -k, None])
+            vote = np.maximum(near[row, top], 1e-6).astype(np.float64) ** 8 * np.array(self.weights)[self.labels[top]]
+            out[i : i + len(near)] = np.bincount(row, vote * self.labels[top], len(near)) / np.bincount(row, vote, len(near))
         return np.clip(out, 0, 1)
 
 

@@ -3,8 +3,9 @@
 A character trigram model is counted over all documents. Spans that look disguised (look-alike signs inside a
 word, letters repeated three times or more, single letters spaced out) become lattices: each position offers its
 literal reading, the letters that it can stand for, and for a run of one letter one or two of it; separators
-between spaced letters may vanish or be a word edge, and spans may have any length. A Viterbi pass finds the reading of least cost under the model. The restored
-text is scored by a rule list learned from the labelled sample: a word or word beginning that a text holds a number
+between spaced letters may vanish or be a word edge, and spans may have any length. A Viterbi pass finds the reading
+of least cost under the model; words of the rules are readings too, at a cost of their own, so a rule word wins only
+where the character model finds nothing cheaper. The restored text is scored by a rule list learned from the labelled sample: a word or word beginning that a text holds a number
 of times, or at a rate. Rules are chosen greedily by how many toxic documents not yet explained they cover, each with
 the lower confidence bound of its precision.
 
@@ -31,6 +32,7 @@ from lattica.llm.common import as_bytes, filter_texts, slices, table
 from lattica.llm.labels import held_out, labelled_sample
 
 CUT = 0.5
+#: The rule list has this many rules at most: a parameter of the fit, like the sample.
 RULES = 400
 LEAST_COVER = 3.5
 LEAST_PRECISION = 0.55
@@ -44,7 +46,7 @@ EDGE, OTHER, SIGN = 0, 27, 28
 SYMBOLS = 29
 STAND_IN_COST = 1.2
 DROP_COST = 0.3
-#: What a known word costs in a spaced run of several words, whatever its letters.
+#: What a known word costs, whatever its letters: the prior of a rule word against the model's text.
 KNOWN_COST = 6.0
 #: The letters that look-alike signs stand for.
 STANDS_FOR = {
@@ -53,8 +55,9 @@ STANDS_FOR = {
 }
 _LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{_LETTER}+")
-#: Readings of spans up to this length are kept for the next time.
+#: Readings of spans up to this length are kept for the next time, so many of them at most.
 LONGEST_KEPT = 64
+MOST_KEPT = 200_000
 SEPARATORS = " .-_*"
 _IS_LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 _IS_SIGN = np.isin(np.arange(256), [ord(c) for c in STANDS_FOR if c.isascii()])
@@ -139,8 +142,8 @@ def _written(out: tuple | None) -> str:
 
 
 def viterbi(span: str, cost: np.ndarray, spaced: bool, known: dict[str, float]) -> str:
-    """The reading of least cost. A span that can be read as one known word is that word; in a spaced span a known
-    word between two edges pays KNOWN_COST in place of the model's cost."""
+    """The reading of least cost. A known word pays KNOWN_COST in place of the model's cost, where it is read from the
+    whole span or, in a spaced one, stands between two edges."""
     runs, end = _runs(span), len(span)
 
     def words_from(start: int) -> Iterator[tuple[int, str, float]]:
@@ -155,8 +158,6 @@ def viterbi(span: str, cost: np.ndarray, spaced: bool, known: dict[str, float])
                     if (grown := out + text) in known and c0 + c < (held := beams.setdefault(j, {})).get(grown, 1e9):
                         held[grown] = c0 + c
 
-    if known and (whole := [(c, out) for j, out, c in words_from(0) if j == end]):
-        return min(whole)[1]
     # States (the last two symbols) of the positions ahead, with cost and the way there as a chain
     best: dict[int, dict[tuple[int, int], tuple[float, tuple | None]]] = {0: {(EDGE, EDGE): (0.0, None)}}
     done: list[str] = []
@@ -183,13 +184,13 @@ def viterbi(span: str, cost: np.ndarray, spaced: bool, known: dict[str, float])
                     total += cost[x, y, z]
                     x, y = y, z
                 reach(j, (x, y), total, (out, text) if text else out)
-        starts = [(c0, out) for (_, b), (c0, out) in states.items() if b == EDGE] if spaced and known else []
+        starts = [(c0, out) for (_, b), (c0, out) in states.items() if b == EDGE] if known and (spaced or not i) else []
         if starts:
             c0, out = min(starts, key=lambda x: x[0])
             for j, word, c in words_from(i):
                 if j == end:
                     reach(j, (EDGE, EDGE), c0 + c + KNOWN_COST, (out, word))
-                elif span[j] in SEPARATORS and not word.endswith(" "):
+                elif spaced and span[j] in SEPARATORS and not word.endswith(" "):
                     reach(j + 1, (symbol(word[-1]), EDGE), c0 + c + KNOWN_COST + DROP_COST, (out, word + " "))
     ends = [(c + (cost[a, b, EDGE] if b != EDGE else 0.0), out) for (a, b), (c, out) in best.get(end, {}).items()]
     return "".join(done) + _written(min(ends, key=lambda x: x[0])[1]) if ends else span
@@ -211,22 +212,18 @@ class Channel:
             self.known[w] = 1.0
 
     def read(self, span: str, spaced: bool) -> str:
-        if len(span) > LONGEST_KEPT:
-            return viterbi(span, self.cost, spaced, self.known)
-        if (out := self.memory.get(span)) is None:
-            if len(self.memory) > 200_000:
-                self.memory.clear()
-            out = self.memory[span] = viterbi(span, self.cost, spaced, self.known)
+        key = ("\1" if spaced else "\0") + span
+        if (out := self.memory.get(key)) is None:
+            out = viterbi(span, self.cost, spaced, self.known)
+            if len(span) <= LONGEST_KEPT:
+                if len(self.memory) >= MOST_KEPT:
+                    self.memory.clear()
+                self.memory[key] = out
         return out
 
     def token(self, token: str) -> str:
         """The reading of a token in which a sign touches a letter or a letter stands three times over."""
-        key = "\0" + token
-        if (out := self.memory.get(key)) is None:
-            out = self.read(token.strip("\"'.,;:?#%&()[]{}-_~^=/\\<>").rstrip("!$*+|"), False)
-            if len(token) <= LONGEST_KEPT:
-                self.memory[key] = out
-        return out
+        return self.read(token.strip("\"'.,;:?#%&()[]{}-_~^=/\\<>").rstrip("!$*+|"), False)
 
     def restorations(self, texts: list[bytes]) -> list[str]:
         """For each text, the readings of its disguised spans, joined by lines."""

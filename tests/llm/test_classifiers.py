@@ -4,6 +4,7 @@ import numpy as np
 from cases import EDGE, edge_docs, empty_docs
 
 from lattica.llm import quality, toxicity
+from lattica.llm.labels import labelled_sample
 from lattica.llm.registry import queries
 
 SF = "/root/testdata/sf0.1"
@@ -92,6 +93,53 @@ def test_edge_cases(spark):
     assert toxicity.accepted(docs, docs, labels).count() == 300
 
 
+def test_long_and_repeated_labelled_texts(spark):
+    """Long texts are whole and fit under a byte budget; an id gives one text however often it is repeated."""
+    long = [(i, ("moron " if i % 2 else "gentle ") + f"number{i} and so on " * 1500) for i in range(200)]
+    docs = spark.createDataFrame(long + [(1, "zz" * 50)] * 40 + [(3, None)] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    sample, total = labelled_sample(docs, labels, "toxic")
+    free = [i for i in range(200) if not held(i)]
+    assert len(sample) == len(free) and total == {0: sum(i % 2 == 0 for i in free), 1: sum(i % 2 for i in free)}
+    assert {t.decode() for t, _ in sample} == {"zz" * 50 if i == 1 else "" if i == 3 else long[i][1] for i in free}
+    few, _ = labelled_sample(docs, labels, "toxic", most_bytes=20 * len(long[100][1]))
+    assert 5 <= len(few) <= 24 and {y for _, y in few} == {0, 1} and {t for t, _ in few} <= {t for t, _ in sample}
+    one, _ = labelled_sample(docs.where("doc_id > 3"), labels, "toxic", most_bytes=10)
+    assert sorted(y for _, y in one) == [0, 1]
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.where("doc_id > 3"), docs, labels).collect()}
+    assert all((score[i] >= 0.5) == bool(i % 2) for i in score)
+
+
+def test_whole_words_count():
+    a, b = (quality.term_counts([f"abcdefgh{x}middle{x}ijklmnop".encode()]) for x in ("x", "y"))
+    words = slice(quality.SHAPE_BINS, quality.SHAPE_BINS + quality.WORD_BINS)
+    assert a[:, words].sum() == 1 and (a[:, words] != b[:, words]).any()
+
+
+def test_tied_neighbours_all_vote():
+    sample = [(b"one two three", y) for y in (1, 0, 1, 1)] + [(b"four five six seven", 0)] * 4
+    model = quality.fit(sample, {0: 5, 1: 3}, rank=4, neighbours=1)
+    assert abs(model.scores([b"one two three"])[0] - 0.75) < 1e-6
+
+
+def test_a_rule_word_must_be_the_cheapest_reading():
+    cost = np.full((toxicity.SYMBOLS,) * 3, 3.0)
+    for x, y, z in zip([0, 0, *map(toxicity.symbol, "ball")], [0, *map(toxicity.symbol, "ball")], [*map(toxicity.symbol, "ball"), 0], strict=False):
+        cost[x, y, z] = 0.01
+    dear = {"": 0.0, "b": 0.0, "ba": 0.0, "bai": 0.0, "bail": 1.0}
+    assert toxicity.viterbi("ba1l", cost, False, dear) == "ball"  # costs 1.2, the rule word 1.2 + KNOWN_COST
+    assert toxicity.viterbi("ba1l", np.full_like(cost, 3.0), False, dear) == "bail"
+
+
+def test_readings_are_kept_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_KEPT", 50)
+    channel = toxicity.Channel(np.ones((toxicity.SYMBOLS,) * 3))
+    for i in range(300):
+        channel.token(f"a{i}b")
+        channel.token("q1" * 200 + str(i))
+    assert len(channel.memory) <= 50 and all(len(k) <= toxicity.LONGEST_KEPT + 1 for k in channel.memory)
+
+
 def test_neighbour_votes_equal_brute_force():
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(60)]
