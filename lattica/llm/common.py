@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.sources.tables import discard
 from lattica.sources.tables import shared_folder as shared_dir
 from lattica.sources.tables import staged as stage
 
-__all__ = ["as_bytes", "discard", "filter_texts", "hash_runs", "mix", "shared_dir", "slices", "stage", "table"]
+__all__ = ["as_bytes", "discard", "filter_texts", "hash_runs", "mix", "shared_dir", "slices", "stage", "table", "without_rows"]
 
 _BYTE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -70,3 +72,28 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) ->
                 yield part.filter(pa.array(keep(as_bytes(part.column("text")))))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, key_of: Callable[[bytes], int]) -> DataFrame:
+    """The rows of docs (doc_id, text, others) that stay, given (doc_id, key, stays) of each, `key_of` giving the key
+    of a text. Nulls in doc_id are equal. Only ids with both kinds of text are looked at row by row."""
+    ids = stage(rows.groupBy("doc_id").agg(F.min("stays").alias("all"), F.max("stays").alias("any")).where("not all"), "leaving")
+    same = docs["doc_id"].cast("long").eqNullSafe(ids["doc_id"])
+    rest = docs.join(ids, same, "left_anti")
+    mixed = ids.where("any")
+    if mixed.isEmpty():
+        return rest
+    name = "key"
+    while name in docs.columns:
+        name += "_"
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                key = np.array([key_of(t) for t in as_bytes(part.column("text"))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], names=[*part.schema.names, name])
+
+    some = docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed["doc_id"]), "left_semi").mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    stay = rows.where("stays").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    kept = some.join(stay, some["doc_id"].cast("long").eqNullSafe(stay["_d"]) & (some[name] == stay["_k"]), "left_semi")
+    return rest.select(docs.columns).union(kept.select(docs.columns))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage
+from lattica.llm.common import discard, stage
 
 
 def _mark(links: DataFrame) -> tuple[int, int]:
@@ -21,14 +21,18 @@ def _mark(links: DataFrame) -> tuple[int, int]:
 def _large(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a"))
     least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    return stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+    out = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+    discard(least)
+    return out
 
 
 def _small(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = stage(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return stage(moved.union(least.select("a", "m")).distinct(), "small")
+    out = stage(moved.union(least.select("a", "m")).distinct(), "small")
+    discard(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,7 +40,9 @@ def components(links: DataFrame) -> DataFrame:
     links = stage(links.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").select("a", "b").distinct(), "links")
     mark = _mark(links)
     while mark[0]:
-        links = _small(_large(links))
+        before, large = links, _large(links)
+        links = _small(large)
+        discard(before, large)
         if (now := _mark(links)) == mark:
             break
         mark = now

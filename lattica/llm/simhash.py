@@ -11,9 +11,11 @@ one task: a sample of the fingerprints shows which lists those are, and blocks o
 that the sample missed is passed on and dealt out in a second pass. Either way gives the same links.
 
 Defined results: no words (also null text) gives fingerprint zero, which links like any other; under four words
-the whole sequence is the one shingle; rows that share a doc_id are one document; a null doc_id gets the
-component of its fingerprint (null if no row of the component has an id); an empty table gives no rows; further
-columns are ignored.
+the whole sequence is the one shingle; rows link by their texts alone, so rows that share a doc_id but not a text may
+lie in different components and each stays or goes by its own; repeated rows are one document; a null doc_id links
+like any other and gets the component of its fingerprint (null if no row of the component has an id); a component
+keeps the rows of its least id (of nulls, if it has no other) with the least fingerprint among them; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import as_bytes, slices, stage, table
+from lattica.llm.common import as_bytes, slices, stage, table, without_rows
 from lattica.llm.components import components
 
 WORDS = 4
@@ -215,19 +217,28 @@ def _tiled(rows: DataFrame) -> DataFrame:
     return tiles.groupBy("key", "i", "j").applyInArrow(_work_tile, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, component_id, kept): the least id of the component and the fingerprint
+    that it keeps. Fingerprints are the nodes, so rows without an id link like any other."""
     rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct.where("rep is not null")))
-    named = stage(distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep"))))
+    named = stage(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("x"))
+    return rows, named.join(least, "component").select("fp", F.col("x.rep").alias("component_id"), F.col("x.fp").alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    rows, named = _named(docs, id_col, text_col)
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of least id of each component, with all its columns."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: the rows of its least id with the fingerprint kept."""
+    rows, named = _named(docs, "doc_id", "text")
+    stays = (F.col("fp") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return without_rows(docs, rows.join(named, "fp").select("doc_id", F.col("fp").alias("key"), stays.alias("stays")), fingerprint)
 
 
 def op3_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:

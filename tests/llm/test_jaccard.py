@@ -5,7 +5,7 @@ import numpy as np
 from cases import edge_docs, empty_docs
 from test_near_duplicates import roots
 
-from lattica.llm import jaccard
+from lattica.llm import jaccard, simhash
 
 
 def grams(text):
@@ -74,4 +74,15 @@ def test_awkward_rows(spark):
     rows = [(None, "a b c d e f"), (7, "A b c d e f"), (5, "one"), (5, "two"), (9, "two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.component_id for r in jaccard.near_duplicates(docs).collect())) == [5, 5, 5, 7, 7]
-    assert jaccard.deduplicated(docs).count() == 4
+    left = lambda rows: sorted((r.doc_id, r.text) for r in jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left(rows) == [(5, "one"), (5, "two"), (7, "A b c d e f")]
+
+
+def test_no_text_is_lost_with_shared_ids(spark):
+    """Rows stay or go by their own text: what occurs nowhere else is kept, whatever its id."""
+    rows = [(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "another text"), (None, "another text"), (None, "lone"), (None, "lone"), (3, "alpha beta gamma delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS key", "1 AS key_")
+    for keep in (jaccard.deduplicated, simhash.deduplicated):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == [(0, "lone"), (0, "lone"), (3, rows[0][1]), (3, rows[0][1]), (5, "another text")]

@@ -87,6 +87,14 @@ def test_simhash_edge_cases(spark):
     assert 3 not in ids and 4 not in ids and 7 not in ids and {1, 2, 5, 6, 8, None} <= set(ids)
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """A row without an id links two documents; a row's component comes from its own text."""
+    text = "one two three four five six seven eight"
+    rows = [(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, text), (None, text), (9, text), (None, "nobody has this")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 5), (3, 3), (5, 3), (5, 5), (9, 5)]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(12, 16))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from cases import edge_docs, vocabulary
-from test_near_duplicates import brute_fingerprint, roots
+from test_jaccard import brute
 from test_tokens import check_pieces
 from tokenizers import Tokenizer
 
@@ -24,8 +24,7 @@ def test_run_equals_brute_force(spark):
     rows = [r for r, s in zip(rows, good.scores([t.encode() for _, t in rows]), strict=True) if s >= 0.3]
     bad = toxicity.fit(docs, labels)
     rows = [r for r, s in zip(rows, bad.scores([t.encode() for _, t in rows]), strict=True) if s < 0.5]
-    fp = [brute_fingerprint(t) for _, t in rows]
-    root = roots(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 4])
+    root = brute([t for _, t in rows])
     rows = [r for i, r in enumerate(rows) if root[i] == i]
     items = [re.findall(r"[^\W_]+", b.text.lower()) for b in bench.collect()]
 
