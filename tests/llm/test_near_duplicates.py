@@ -3,9 +3,9 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from cases import CLASH, EDGE, edge_docs, empty_docs
+from cases import CLASH, EDGE, edge_docs, empty_docs, key
 
-from lattica.llm import simhash
+from lattica.llm import embeddings, simhash
 from lattica.llm.components import components
 from lattica.llm.embeddings import near_duplicate_vectors
 from lattica.llm.registry import queries
@@ -95,24 +95,60 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 5), (3, 3), (5, 3), (5, 5), (9, 5)]
 
 
+def brute_vectors(rows):
+    """(n_links, component_id) of each row, by comparing all."""
+    ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = np.zeros((len(rows), len(rows)), bool)
+    for n in {len(rows[i][1]) for i in ok}:
+        own = [i for i in ok if len(rows[i][1]) == n]
+        x = np.array([rows[i][1] for i in own], float)
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        links[np.ix_(own, own)] = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    root = roots(len(rows), np.argwhere(links).tolist())
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
+    return [(d, int(links[i].sum()), least[root[i]]) for i, (d, _) in enumerate(rows)]
+
+
+def check_vectors(spark, rows, blocks):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS own", "'y' AS n_links", "'z' AS v", "1 AS k", "2 AS pos")
+    want = sorted(brute_vectors(rows), key=key)
+    for block in blocks:
+        got = near_duplicate_vectors(table, block=block).collect()
+        assert sorted(((r.id, r.n_links, r.component_id) for r in got), key=key) == want
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(12, 16))
     x = np.vstack([c := centre[rng.integers(0, 12, 300)] + 0.17 * rng.normal(size=(300, 16)), np.repeat(c[:1], 60, 0)])
     odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0] * 3), (5004, [None] * 16), (5005, []), (5006, [float("inf")] * 16), (None, [1.0] * 16)]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + odd
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS own", "'y' AS n_links", "'z' AS bin")
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    s = u @ u.T >= 0.95
-    np.fill_diagonal(s, False)
-    root = roots(len(x), np.argwhere(s).tolist())
-    for block in (32, 8192):
-        got = near_duplicate_vectors(table, block=block).collect()
-        assert len(got) == len(rows)
-        by = {r.id: r for r in got}
-        assert all((by[i].n_links, by[i].component_id) == (s[i].sum(), root[i]) for i in range(len(x)))
-        assert all((by[i].n_links, by[i].component_id) == (0, i) for i in range(5000, 5007))
-    assert near_duplicate_vectors(table.limit(0)).count() == 0
+    check_vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)] + odd, (32, 8192))
+    assert near_duplicate_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>").limit(0)).count() == 0
+
+
+def test_vectors_of_minority_lengths_and_shared_ids(spark):
+    rng = np.random.default_rng(4)
+    two = rng.normal(size=(40, 2))
+    rows = [(i, v.tolist()) for i, v in enumerate(two)] + [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 3.0]), (102, [2.0, 4.0, 6.1]), (103, [-1.0, 2.0, 3.0])]
+    rows += [(7, two[3].tolist()), (7, [9.0, 9.0, -50.0]), (None, [1.0, 2.0, 3.0]), (None, [0.5]), (200, [-2.0]), (3, [7.0]), (3, [7.0])]
+    check_vectors(spark, rows, (4, 8192))
+
+
+def test_tree_cells_hold_all_in_reach():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 3)) * [1, 0.3, 0.1], np.zeros((50, 3))])
+    tree = embeddings.Tree.of(x[::2], len(x), 20)
+    row, cell, own = tree.cells(x, 0.4)
+    home = np.empty(len(x), int)
+    home[row[own]] = cell[own]
+    assert own.sum() == len(x) and tree.leaves > 8
+    seen = set(zip(row.tolist(), cell.tolist(), strict=True))
+    near = np.argwhere(np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.4)
+    assert all((i, home[j]) in seen for i, j in near.tolist())
+    assert len(seen) < len(x) * tree.leaves / 2
 
 
 def test_vector_query(spark):
