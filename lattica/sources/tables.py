@@ -33,6 +33,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows once to the shared folder and reads them back, which cuts the lineage.
 
@@ -80,14 +85,9 @@ class VersionedTables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def version(self) -> int:
         log = f"{self.root}/_commits"
-        return self.spark.read.parquet(log).agg(F.max("version")).first()[0] if self._exists(log) else 0
+        return self.spark.read.parquet(log).agg(F.max("version")).first()[0] if exists(self.spark, log) else 0
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         v = self.version() + 1
