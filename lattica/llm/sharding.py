@@ -1,32 +1,37 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of `slots` virtual slots. Bytes and rows are aggregated per slot, and a
-versioned slot-to-shard map, edited only as far as balance needs, decides the shard. Records never move
-between slots, so a later edit of the map moves whole slots and nothing else.
+Every record hashes into one of `slots` virtual slots. Bytes and rows are aggregated per slot, and a versioned
+slot-to-shard map, edited only as far as balance needs, decides the shard. The newest stored map is loaded, and an
+edit that lightens the heaviest shard is stored as the next version; otherwise the map stays as it is. Records never
+move between slots, so an edit moves whole slots and nothing else.
 
-All work on records is DataFrame code. The driver sees only the fixed-size slot table.
+Copies of one record (same id and text) share a slot, unless together they outweigh a quarter of an even slot by
+bytes or rows: then they are dealt over as many slots as that takes, for copies are interchangeable. There can be
+8 * slots such records at most, which bounds what is broadcast. So no slot is hot, whatever is repeated.
 
-Positions within a shard come from counts per slot and salt, so that no task numbers a whole slot, even where a
-third of all rows are one repeated record.
+All work on records is DataFrame code. The driver sees only the fixed-size slot table.
 
 Defined results: a null text has 0 bytes and the CRC-32 of the empty string; a null id hashes by its text;
-repeated rows share a slot and get positions of their own; an empty table gives an empty result; further
-columns of the input are ignored.
+repeated rows get positions of their own; an empty table gives an empty result; further columns of the input are
+ignored. A single text that outweighs an even shard fills one shard alone.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import shared_dir, stage, table
+from lattica.llm.common import discard, shared_dir, stage, table
+from lattica.sources.tables import exists
 
 SLOTS = 4096
-SALTS = 16
+#: Buckets of the hash in which heavy records are looked for; a multiple of the slots.
+BUCKETS = 16
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,17 @@ class SlotMap:
     def initial(slots: int, shards: int) -> SlotMap:
         return SlotMap(0, shards, tuple(s % shards for s in range(slots)))
 
+    def loads(self, weight: list[int]) -> list[int]:
+        out = [0] * self.shards
+        for s, k in enumerate(self.owner):
+            out[k] += weight[s]
+        return out
+
+    def edited(self, weight: list[int]) -> SlotMap:
+        """The next version, if it lightens the heaviest shard; else this one."""
+        after = self.rebalanced(weight)
+        return after if max(after.loads(weight)) < max(self.loads(weight)) else self
+
     def rebalanced(self, weight: list[int], shards: int | None = None) -> SlotMap:
         """The next version: a shard keeps its heaviest slots while they fit under the mean load; the others go,
         heaviest first, to the shard with the least load."""
@@ -89,33 +105,63 @@ def constant_lookup(values, index: Column, kind: str) -> Column:
     return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), index)
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot of each record, and a salt."""
+def records_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32 of each record, a hash that its copies share, and a number of its own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     crc = F.crc32(F.encode(text, "utf-8"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), crc, F.octet_length(text)), F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
+        F.xxhash64(F.col(id_col), crc, F.octet_length(text)).alias("h"),
+        F.monotonically_increasing_id().alias("pos"),
     )
 
 
+def slotted(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The records with their virtual_slot. One aggregate over a fixed number of buckets finds where heavy records can
+    be; only the records of those buckets are counted one by one."""
+    sums = (F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    bucket = F.pmod("h", F.lit(slots * BUCKETS))
+    whole = stage(records.groupBy(bucket.alias("bucket")).agg(*sums), "buckets")  # slots * BUCKETS rows at most
+    total = whole.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
+    quarters = F.greatest(*(F.col(c) * 4 * slots / max(total[c] or 0, 1) for c in ("bytes", "rows")))  # of an even slot
+    crowded = whole.where(quarters > 1).select("bucket")
+    heavy = records.withColumn("bucket", bucket).join(F.broadcast(crowded), "bucket").groupBy("h").agg(*sums).where((quarters > 1) & (F.col("rows") > 1))
+    heavy = stage(heavy.select("h", F.ceil(quarters).alias("parts")), "heavy")  # 8 * slots rows at most
+    discard(whole)
+    spread = F.when(F.col("parts").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("pos"), "parts")))
+    return records.join(F.broadcast(heavy), "h", "left").withColumn("virtual_slot", F.pmod(spread, F.lit(slots)).cast("int")).drop("parts")
+
+
+def newest_map(spark: SparkSession, store: str, slots: int, shards: int) -> SlotMap:
+    """The stored map (its slots are fixed for good), or the first one."""
+    if not exists(spark, store):
+        return SlotMap.initial(slots, shards)
+    found = SlotMap.load(spark, store)
+    if len(found.owner) != slots:
+        raise ValueError(f"{store} maps {len(found.owner)} slots, not {slots}")
+    return found
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (position in the shard), grown_shard, virtual_slot, map_version."""
     spark = docs.sparkSession
-    records = stage(slotted(docs, slots, id_col, text_col), "slotted")
-    counts = stage(records.groupBy("virtual_slot", "salt").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "slot-counts")  # slots * SALTS rows at most
+    store = store or f"{shared_dir(spark)}/slot-map"
+    records = stage(records_of(docs, id_col, text_col), "records")
+    records = stage(slotted(records, slots), "slotted")
+    counts = stage(records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "slot-counts")
     size = [0] * slots
-    for r in counts.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect():  # at most `slots` rows
+    for r in counts.select("virtual_slot", "bytes").collect():  # at most `slots` rows
         size[r["virtual_slot"]] = r["bytes"]
-    slot_map = SlotMap.initial(slots, shards).rebalanced(size)
-    slot_map.save(spark, store or f"{shared_dir(spark)}/slot-map")
-    before = Window.partitionBy("shard").orderBy("virtual_slot", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("shard", slot_map.lookup(F.col("virtual_slot"))).select("virtual_slot", "salt", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot", "salt").orderBy("doc_id", "text_crc32", "size"))
-    return records.withColumn("place", place).join(F.broadcast(base), ["virtual_slot", "salt"]).select(
+    before_edit = newest_map(spark, store, slots, shards)
+    slot_map = before_edit.edited(size) if before_edit.shards == shards else before_edit.rebalanced(size, shards)
+    if slot_map is not before_edit or not slot_map.version:
+        slot_map.save(spark, store)
+    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("shard", slot_map.lookup(F.col("virtual_slot"))).select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "pos"))
+    return records.withColumn("place", place).join(F.broadcast(base), "virtual_slot").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -129,4 +175,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"))
+    own = f"{shared_dir(spark)}/slot-map-{zlib.crc32(sf_dir.encode()):08x}"  # each folder of tables has a map of its own
+    return shard_documents(table(spark, sf_dir, "documents"), store=own)

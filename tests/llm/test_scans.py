@@ -171,6 +171,39 @@ def test_sharding(spark):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
 
 
+def test_bytes_law_holds_under_a_repeated_record(spark):
+    rng = random.Random(8)
+    rows = [(5, "x" * 200)] * 700 + [(i, "y" * rng.randint(50, 350)) for i in range(1000, 2400)] + [(None, None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS size", "2 AS h", "3 AS pos", "4 AS shard", "5 AS slot").repartition(5)
+    got = sharding.shard_documents(docs, store="/tmp/none" + str(rng.random())).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t or "") + 1) for i, t in rows)
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= 700
+    for k in load:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_stored_map_is_loaded_and_edited(spark, tmp_path):
+    """The same table again changes nothing; a grown one edits the stored map and keeps the earlier version."""
+    store = f"file://{tmp_path}/map"
+    docs = spark.createDataFrame([(i, "z" * (i % 97)) for i in range(1500)], "doc_id long, text string")
+    first = {r.doc_id: r for r in sharding.shard_documents(docs, store=store).collect()}
+    again = {r.doc_id: r for r in sharding.shard_documents(docs, store=store).collect()}
+    assert again == first and {r.map_version for r in again.values()} == {1}
+    more = docs.union(spark.createDataFrame([(i, "w" * 400) for i in range(5000, 5400)], docs.schema))
+    grown = {r.doc_id: r for r in sharding.shard_documents(more, store=store).collect()}
+    assert {r.map_version for r in grown.values()} == {2}
+    assert all(grown[i].virtual_slot == r.virtual_slot for i, r in first.items())
+    stay = sum(grown[i].shard == r.shard for i, r in first.items())
+    assert stay > 0.5 * len(first)
+    old, new = (sharding.SlotMap.load(spark, store, v) for v in (1, 2))
+    assert old.version == 1 and new == sharding.SlotMap.load(spark, store)
+    wider = sharding.shard_documents(more, shards=17, store=store).collect()
+    assert {r.map_version for r in wider} == {3} and {r.shard for r in wider} == set(range(17))
+
+
 def test_sharding_edge_cases(spark):
     got = sharding.shard_documents(edge_docs(spark)).collect()
     assert len(got) == len(EDGE) and all(0 <= r.shard < 16 for r in got)
