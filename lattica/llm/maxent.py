@@ -14,8 +14,8 @@ parts; a task runs minibatch updates on its own documents from the broadcast wei
 the next weights are the average of the tasks' weights, each feature weighted by how often a task met it.
 
 The vocabulary grows with the corpus, so it is never broadcast or collected. Documents are dealt into blocks of
-about BLOCK_BYTES; each block's distinct words are counted, the counts summed over blocks by word, and a block is
-scored together with its own words' totals. Words are told apart by a 64-bit hash of their bytes.
+about BLOCK_BYTES; each block's distinct words are counted, the counts summed over blocks by word (a partial
+aggregate), joined back to the words of each block, and a block is scored together with its own words' totals. Words are told apart by a 64-bit hash of their bytes.
 
 Defined results: a null text is empty (its only token is the end); rows with a null doc_id are training rows;
 repeated rows count and are scored each; without training rows every token is unknown; an empty table gives no
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattica.llm.common import as_bytes, hash_runs, mix, slices, stage, table
 from lattica.llm.labels import held_out
 
 FOLDS = 10
 BLOCK_BYTES = 16 << 20
+BLOCKS_A_TASK = 2
 CLASSES = 32
 BINS = 1024
 FEATURES = 4
@@ -243,12 +243,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     blocks = blocked(docs)
-    w = Window.partitionBy("h").orderBy("block")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    words = stage(block_words(blocks).select("block", "h", "cls", F.sum("n").over(whole).alias("c"), (F.row_number().over(w) == 1).alias("once")), "words")
-    once = words.where("once and c > 0").groupBy("cls").agg(F.sum("c").alias("mass"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
+    own_words = stage(block_words(blocks), "block_words")
+    totals = stage(own_words.groupBy("h", "cls").agg(F.sum("n").alias("c")), "totals")
+    known = totals.where("c > 0").groupBy("cls").agg(F.sum("c").alias("mass"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
     mass, kinds, single = (np.zeros(CLASSES) for _ in range(3))
-    for r in once.collect():  # a row for each class
+    for r in known.collect():  # a row for each class
         mass[r["cls"]], kinds[r["cls"]], single[r["cls"]] = r["mass"], r["kinds"], r["single"]
     discount = np.clip(np.maximum(single, 0.5) / np.maximum(kinds, 1), 0, 0.9)
     unseen = np.where(mass > 0, discount * kinds / np.maximum(mass, 1), 1.0)
@@ -284,7 +283,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(words.select("block", "h", "c").groupBy("block")).applyInArrow(run, schema)
+    # A word of every block is a hot key of this join only by its block numbers; adaptive execution splits it
+    words = own_words.select("block", "h").join(totals.select("h", "c"), "h")
+    n = blocks.agg(F.count_distinct("block")).first()[0]
+    tasks = max(1, -(-n // BLOCKS_A_TASK))
+    return blocks.repartition(tasks, "block").groupBy("block").cogroup(words.repartition(tasks, "block").groupBy("block")).applyInArrow(run, schema)
 
 
 def op6_class_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
