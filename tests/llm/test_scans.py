@@ -4,9 +4,11 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pytest
 from cases import EDGE, edge_docs, empty_docs
 
 from lattica.llm import decontaminate, licences, maxent, sharding
@@ -77,6 +79,33 @@ def test_licence_scan(spark):
     assert licences.scan_licences(empty_docs(spark)).count() == 0
 
 
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.exists(), reason="no licence texts on this machine")
+def test_long_licences_are_known_by_their_digests(spark):
+    """The whole texts, as the system has them; changed spelling and case; one word more is another text."""
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    rows = [(i, (COMMON / f).read_text()) for i, f in enumerate(names)]
+    rows += [(100 + i, "Copyright (c) 2001 Somebody Else\n" + t.upper().replace("LICENSE", "LICENCE").replace(",", " -- ")) for i, t in rows] + [(200 + i, t + " more") for i, t in rows]
+    rows += [(300, rows[0][1].split("END OF TERMS AND CONDITIONS")[0])]
+    got = {r.doc_id: r.license_id for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(enumerate(names.values()))
+    assert got == want | {100 + i: k for i, k in want.items()} | {200 + i: None for i in want} | {300: "Apache-2.0"}
+
+
+def test_notices_of_several_paragraphs(spark):
+    mit, apache = (next(t for k, t in LICENCE_TEXTS if k == n and t.count("\n\n") > 1) for n in ("MIT", "Apache-2.0"))
+    rows = [(1, f"Some prose.\n\n{apache}\n\nMore prose.\n \n{mit}\n\nThe end."), (2, apache.replace("\n\n", "\n\nbut\n\n")), (3, "a\n\n" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.notices for r in licences.scan_licences(docs).collect()}
+    assert got == {1: "Apache-2.0,MIT", 2: "", 3: ""}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: r[1] for r in con.execute(f"SELECT doc_id, notices FROM ({oracle_sql()['op10_licence_digests']})").fetchall()} == got
+
+
 def test_licence_scan_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
