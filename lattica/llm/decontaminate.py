@@ -160,36 +160,42 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     lines = hits.join(seed_rows, "hash").select("region", "item_id", (F.col("p") - F.col("at")).alias("shift")).distinct()
     lines = stage(lines, "alignments")
     both = lines.join(regions.select("region", "doc_id", "low", "tokens"), "region").join(item_tokens.withColumnRenamed("tokens", "item_tokens"), "item_id")
+    # Only what the alignment covers goes on: its length is bounded by the item, whatever the region
+    start = F.greatest("shift", F.lit(0)).cast("int")
+    n = F.least(F.col("shift") + F.size("item_tokens"), F.size("tokens")).cast("int") - start
+    both = both.withColumn("start", start).withColumn("n", n).where("n > 0").select(
+        "doc_id", "item_id", (F.col("low") + F.col("start")).alias("doc_start"), (F.col("start") - F.col("shift")).alias("item_start"), F.size("item_tokens").alias("item_size"),
+        F.slice("tokens", F.col("start") + 1, F.col("n")).alias("doc_part"), F.slice("item_tokens", (F.col("start") - F.col("shift") + 1).cast("int"), F.col("n")).alias("item_part"),
+    )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, i, low, shift, doc, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "low", "shift")), *([np.array(x) for x in batch.column(c).to_pylist()] for c in ("tokens", "item_tokens")), strict=True):
-                if (found := align(doc, item, shift)) is not None:
-                    start, n, same = found
-                    out.append((d, i, low + start, start - shift, n, same))
+            own = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "doc_start", "item_start", "item_size")]
+            parts = [[np.array(x) for x in batch.column(c).to_pylist()] for c in ("doc_part", "item_part")]
+            for d, i, doc_start, item_start, size, doc, item in zip(*own, *parts, strict=True):
+                if (same := matched(doc, item, size)) is not None:
+                    out.append((d, i, doc_start, item_start, len(doc), same))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = [batch.schema.field(c).type for c in ("doc_id", "item_id")] + [pa.int64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "doc_start", "item_start", "overlap_tokens", "matched_tokens"])
 
     item_kind = items.schema["item_id"].dataType.simpleString()
-    checked = both.select("doc_id", "item_id", "low", "shift", "tokens", "item_tokens").mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}, doc_start long, item_start long, overlap_tokens long, matched_tokens long")
+    checked = both.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}, doc_start long, item_start long, overlap_tokens long, matched_tokens long")
     best = F.max(F.struct("matched_tokens", (-F.col("doc_start")).alias("a"), (-F.col("item_start")).alias("b"), "overlap_tokens")).alias("m")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.a")).alias("doc_start"), (-F.col("m.b")).alias("item_start"), "m.overlap_tokens", "m.matched_tokens")
 
 
-def align(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """Start in doc, length and equal tokens of the overlap at this shift, if it is contaminated."""
-    start, stop = max(shift, 0), min(shift + len(item), len(doc))
-    same = doc[start:stop] == item[start - shift : stop - shift]
-    need = min(WINDOW, len(item))
-    if len(same) < need:
+def matched(doc: np.ndarray, item: np.ndarray, item_size: int) -> int | None:
+    """Equal tokens of an overlap (the parts of document and item that lie on each other), if it is contaminated."""
+    need = min(WINDOW, item_size)
+    if len(doc) < need:
         return None
-    total = np.concatenate([[0], np.cumsum(same)])
-    if (total[need:] - total[:-need]).max() < (need - MISSES if len(item) >= WINDOW else need):
+    total = np.concatenate([[0], np.cumsum(doc == item)])
+    if (total[need:] - total[:-need]).max() < (need - MISSES if item_size >= WINDOW else need):
         return None
-    return start, len(same), int(total[-1])
+    return int(total[-1])
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -26,3 +26,11 @@ def test_all_columns_equal_the_sql_on_partial_passages(spark):
     got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert sorted(tuple(r) for r in got.select(columns).collect()) == want
     assert (1, 1, 50, 0, 60, 20) in want
+
+
+def test_repetitive_text_against_a_repetitive_item(spark):
+    """As many alignments as tokens, each of the item's length: the best is the first."""
+    docs = spark.createDataFrame([(1, "w " * 6000), (2, "w " * 12), (3, "v w " * 300)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "w " * 40)], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[2:] for r in decontaminate.overlaps(docs, items).collect()}
+    assert got == {1: (0, 0, 40, 40)}
