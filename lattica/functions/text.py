@@ -382,7 +382,7 @@ def metric_mentions(text: Column) -> Column:
 
 def named_entities(text: Column, known: Column) -> Column:
     """Known (lower-case) names that occur, then capitalised words of three letters or more, lower-cased."""
-    caps = F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z]{2,}\b"), F.lit(0)), lambda w: F.lower(w))
+    caps = F.transform(F.filter(F.split(text, WORD), lambda w: w.rlike("^[A-Z][a-zA-Z]{2,}$")), lambda w: F.lower(w))
     return F.array_distinct(F.concat(F.filter(known, lambda k: F.contains(F.lower(text), k)), F.filter(caps, lambda w: ~w.isin("figure", "table", "section"))))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -201,52 +203,42 @@ def union_tables(strong: DataFrame, anchored: DataFrame, borderless: DataFrame)
 _END = r"^\s*(?:\d+\.?\s+[A-Z]|(?:Figure|Algorithm|Appendix|References?)\s*\d)"
 
 
-def scan_table(lines: list[tuple[str, bool, int, float, bool]]) -> list[str]:
-    """The lines of the table below a caption. Each line comes with: looks like a row, words, share of numeric
-    words, is an end signal. Header lines of up to eight are skipped; two lines that are no rows end the table."""
-    begin = next((i for i, x in enumerate(lines[:8]) if x[1]), 0)
-    out: list[str] = []
-    misses = 0
-    for text, row, n, numeric, ends in lines[begin:]:
-        if not text:
-            if misses:
-                break
-            misses = 1
-        elif ends or (n > 12 and numeric < 0.15):
-            break
-        elif len(text) <= 2 and out:
-            out[-1] += text
-        elif len(text) <= 2:
-            continue
-        elif row:
-            misses = 0
-            out.append(text)
-        else:
-            misses += 1
-            if misses >= 2:
-                break
-            if n >= 2:
-                out.append(text)
-    return out
+#: What a line below a caption is, by the first that fits; see caption_tables for the flags.
+BLANK, STOP, PIECE, ROW, OTHER = "BSPRO"
+#: A table goes on until a stop, or the second of two blank or other lines with nothing but pieces between.
+_TABLE_END = re.compile(f"{STOP}|[{BLANK}{OTHER}]{PIECE}*[{BLANK}{OTHER}]")
+
+
+def scan_table(lines: list[str], kinds: str, words: list[int], head: int = 8) -> list[str]:
+    """The lines of the table below a caption, given each line's kind and number of words. It begins with the first row
+    among the first `head` lines; pieces (one or two characters) are parts of the line before them."""
+    begin = max(kinds[:head].find(ROW), 0)
+    end = _TABLE_END.search(kinds, begin)
+    region = range(begin, end.end() - 1 if end else len(kinds))
+    kept = [i for i in region if kinds[i] == ROW or (kinds[i] == OTHER and words[i] >= 2)]
+    bounds = [*kept, len(lines)]
+    pieces = [i for i in region if kinds[i] == PIECE]
+    return ["".join([lines[i], *(lines[j] for j in pieces if i < j < after)]) for i, after in zip(kept, bounds[1:], strict=True)]
 
 
 def caption_tables(pages: DataFrame) -> DataFrame:
     """doc_id, num, page, caption, headers, rows, quality of tables below 'Table N:' lines of (doc_id, page, text)."""
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("ln", "raw")).withColumn("line", F.trim("raw"))
     w = T.words(F.col("line"))
+    numeric = F.coalesce(F.size(F.filter(w, lambda x: x.rlike(r"\d") | x.rlike(T.MATH))) / F.nullif(F.size(w), F.lit(0)), F.lit(0.0))
     lines = lines.select(
-        "doc_id", "page", "ln", "line", T.is_table_row(F.col("line")).alias("row"), F.size(w).alias("n"),
-        F.coalesce(F.size(F.filter(w, lambda x: x.rlike(r"\d") | x.rlike(T.MATH))) / F.nullif(F.size(w), F.lit(0)), F.lit(0.0)).alias("numeric"), F.col("line").rlike(_END).alias("ends"),
+        "doc_id", "page", "ln", "line", F.size(w).alias("n"),
+        F.when(F.col("line") == "", BLANK).when(F.col("line").rlike(_END) | ((F.size(w) > 12) & (numeric < 0.15)), STOP).when(F.length("line") <= 2, PIECE).when(T.is_table_row(F.col("line")), ROW).otherwise(OTHER).alias("kind"),
         F.regexp_extract("line", r"(?i)^\s*Table\s*(\d+)\s*[:.]", 1).alias("num"),
     )
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("ln")
-        rows = list(page[["line", "row", "n", "numeric", "ends"]].itertuples(index=False, name=None))
+        text, kinds, words = page["line"].tolist(), "".join(page["kind"]), page["n"].tolist()
         out = []
         for i, num in enumerate(page["num"]):
             if num:
-                out.append((page["doc_id"].iloc[0], page["page"].iloc[0], int(num), rows[i][0], scan_table(rows[i + 1 :])))
+                out.append((page["doc_id"].iloc[0], page["page"].iloc[0], int(num), text[i], scan_table(text[i + 1 :], kinds[i + 1 :], words[i + 1 :])))
         return pd.DataFrame(out, columns=["doc_id", "page", "num", "caption", "lines"])
 
     kind = pages.schema["doc_id"].dataType.simpleString()

@@ -13,24 +13,31 @@ BIOES_TYPES = {"solution": "Model", "method": "Method", "dataset": "Dataset", "r
 HARD_TYPES = ["Model", "Method", "Dataset", "Tool", "EvaluationMetric", "Metric", "Task", "Resource", "Language"]
 
 #: Single words that a gazetteer never matches.
-FUNCTION_WORDS = (
-    "a an and or but the of for to in on at by as is are was were be been being am this that these those it its we our ours their "
-    "they them you your he she his her i can could may might will would shall should must do does did done has have had "
-    "use used uses using find found make made get got show shown give given take see form set let new old present propose proposed simple such same "
-    "more most less least many much very also however thus hence then than while which who what when where how why both each all any some no not "
-    "only other others between within without via per with from into over under about above below if so because since though although whether either neither"
-).split()
-NOISE_NAMES = "the this that these those it we our their they a an model method approach task system data result results paper work table figure".split()
-GENERIC_LEADING = (
-    "the a an this that these those our their its new present proposed current existing various several many most some each any other such same given "
-    "concept idea notion kind number amount"
-).split()
+FUNCTION_WORDS = [
+    "a", "an", "and", "or", "but", "the", "of", "for", "to", "in", "on", "at", "by", "as", "is", "are", "was", "were", "be", "been", "being", "am", "this",
+    "that", "these", "those", "it", "its", "we", "our", "ours", "their", "they", "them", "you", "your", "he", "she", "his", "her", "i", "can", "could", "may",
+    "might", "will", "would", "shall", "should", "must", "do", "does", "did", "done", "has", "have", "had", "use", "used", "uses", "using", "find", "found",
+    "make", "made", "get", "got", "show", "shown", "give", "given", "take", "see", "form", "set", "let", "new", "old", "present", "propose", "proposed",
+    "simple", "such", "same", "more", "most", "less", "least", "many", "much", "very", "also", "however", "thus", "hence", "then", "than", "while", "which",
+    "who", "what", "when", "where", "how", "why", "both", "each", "all", "any", "some", "no", "not", "only", "other", "others", "between", "within",
+    "without", "via", "per", "with", "from", "into", "over", "under", "about", "above", "below", "if", "so", "because", "since", "though", "although",
+    "whether", "either", "neither",
+]
+NOISE_NAMES = [
+    "the", "this", "that", "these", "those", "it", "we", "our", "their", "they", "a", "an", "model", "method", "approach", "task", "system", "data", "result",
+    "results", "paper", "work", "table", "figure",
+]
+GENERIC_LEADING = [
+    "the", "a", "an", "this", "that", "these", "those", "our", "their", "its", "new", "present", "proposed", "current", "existing", "various", "several",
+    "many", "most", "some", "each", "any", "other", "such", "same", "given", "concept", "idea", "notion", "kind", "number", "amount",
+]
 
 #: Words that are no concepts.
-CONCEPT_STOPWORDS = (
-    "these those therefore however because their about which with that this based using study paper method model models results show "
-    "proposed approach propose achieve both between performance training learning neural network networks language tasks task"
-).split()
+CONCEPT_STOPWORDS = [
+    "these", "those", "therefore", "however", "because", "their", "about", "which", "with", "that", "this", "based", "using", "study", "paper", "method",
+    "model", "models", "results", "show", "proposed", "approach", "propose", "achieve", "both", "between", "performance", "training", "learning", "neural",
+    "network", "networks", "language", "tasks", "task",
+]
 
 VAGUE_ENTITIES = [
     "this paper", "the authors", "the paper", "our work", "our approach", "other schemes", "various variants", "the above", "the following",
@@ -60,9 +67,11 @@ SEPARATORS = ["_", "-", " "]
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
 
 #: A short list of frequent English words, for the offline share-of-known-words test.
-ENGLISH_STOPWORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down during "
-    "each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once "
-    "only or other our ours out over own same she should so some such than that the their theirs them then there these they this those through to too under "
-    "until up very was we were what when where which while who whom why will with you your yours"
-).split()
+ENGLISH_STOPWORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being",
+    "below", "between", "both", "but", "by", "can", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has",
+    "have", "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "me", "more", "most",
+    "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "out", "over", "own", "same", "she", "should", "so",
+    "some", "such", "than", "that", "the", "their", "theirs", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under",
+    "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your", "yours",
+]
