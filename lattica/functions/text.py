@@ -68,11 +68,16 @@ def strip_markup(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends (trim() takes blanks alone)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_thinking(text: Column) -> Column:
     """Drops closed, then unclosed thinking blocks, then a code fence around what is left."""
-    x = F.regexp_replace(F.trim(text), r"(?s)<think>.*?</think>", "")
-    x = F.trim(F.regexp_replace(x, r"(?s)<think>.*", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    x = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    x = stripped(F.regexp_replace(x, r"(?s)<think>.*", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(x, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
 def clean_model_output(text: Column) -> Column:

@@ -73,3 +73,23 @@ def adversarial_loss(positive: Column, negatives: Column, gamma: float, temperat
     else:
         weighted = F.aggregate(miss, F.lit(0.0), lambda a, x: a + x) / F.size(negatives)
     return (-log_sigmoid(gamma + positive) + weighted) / 2
+
+
+# Boxes: arrays of x0, y0, x1, y1
+
+
+def box_crop(a: Column, b: Column) -> Column:
+    """The box that two boxes share; null if they share none."""
+    low = [F.greatest(F.get(a, i), F.get(b, i)) for i in (0, 1)]
+    high = [F.least(F.get(a, i), F.get(b, i)) for i in (2, 3)]
+    return F.when((low[0] < high[0]) & (low[1] < high[1]), F.array(*low, *high))
+
+
+def box_area(a: Column) -> Column:
+    return F.greatest(F.get(a, 2) - F.get(a, 0), F.lit(0.0)) * F.greatest(F.get(a, 3) - F.get(a, 1), F.lit(0.0))
+
+
+def box_iou(a: Column, b: Column) -> Column:
+    """Intersection over union; 0 where both are empty."""
+    shared = F.coalesce(box_area(box_crop(a, b)), F.lit(0.0))
+    return F.coalesce(F.try_divide(shared, box_area(a) + box_area(b) - shared), F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -193,6 +194,16 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def snowball(fetch: Callable[[DataFrame], DataFrame], seeds: DataFrame, depth: int, most_new: int) -> DataFrame:
+    """node, hop of a crawl: each hop fetches what the nodes of the one before cite (node) and goes on with the first
+    `most_new` of those not seen yet. fetch may be a join with a citation table or a provider's read."""
+    seen = staged(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "seen")
+    for hop in range(1, depth + 1):
+        new = fetch(seen.where(F.col("hop") == hop - 1).select("node")).distinct().join(seen, "node", "left_anti").orderBy("node").limit(most_new)
+        seen = staged(seen.union(new.withColumn("hop", F.lit(hop))), "seen")
+    return seen
+
+
 def view_projection(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, label, degree, colour class and size class for drawing."""
     d = nodes.join(degrees(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))

@@ -211,14 +211,15 @@ _TABLE_END = re.compile(f"{STOP}|[{BLANK}{OTHER}]{PIECE}*[{BLANK}{OTHER}]")
 
 def scan_table(lines: list[str], kinds: str, words: list[int], head: int = 8) -> list[str]:
     """The lines of the table below a caption, given each line's kind and number of words. It begins with the first row
-    among the first `head` lines; pieces (one or two characters) are parts of the line before them."""
+    among the first `head` lines; pieces (one or two characters) are parts of the line before them, unless a blank
+    stands between."""
     begin = max(kinds[:head].find(ROW), 0)
     end = _TABLE_END.search(kinds, begin)
     region = range(begin, end.end() - 1 if end else len(kinds))
     kept = [i for i in region if kinds[i] == ROW or (kinds[i] == OTHER and words[i] >= 2)]
     bounds = [*kept, len(lines)]
     pieces = [i for i in region if kinds[i] == PIECE]
-    return ["".join([lines[i], *(lines[j] for j in pieces if i < j < after)]) for i, after in zip(kept, bounds[1:], strict=True)]
+    return ["".join([lines[i], *(lines[j] for j in pieces if i < j < after and BLANK not in kinds[i:j])]) for i, after in zip(kept, bounds[1:], strict=True)]
 
 
 def caption_tables(pages: DataFrame) -> DataFrame:

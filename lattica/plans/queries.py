@@ -21,6 +21,7 @@ from lattica.operators import triples as TR
 from lattica.plans import derived
 from lattica.plans.derived import Tables, with_sql
 from lattica.sources.tables import staged
+from lattica.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,10 +89,10 @@ def truth_ranks(t: Tables) -> DataFrame:
 
 @query(
     RANKED
-    + ", best AS (SELECT query, min(rank) AS b FROM ranked WHERE is_true GROUP BY query) SELECT CASE WHEN (query // 50 * 37 + 42) % 100 < 50 THEN 'val' ELSE 'test' END AS part, count(*) AS n, avg((b <= 10)::INT) AS hits_10, round(avg(1.0::DOUBLE / b), 9) AS mrr FROM best GROUP BY 1"
+    + ", best AS (SELECT query, min(rank) AS b FROM ranked WHERE is_true GROUP BY query) SELECT CASE WHEN ('0x' || substr(md5('42:' || query), 1, 8))::BIGINT % 1000000 < 500000 THEN 'val' ELSE 'test' END AS part, count(*) AS n, avg((b <= 10)::INT) AS hits_10, round(avg(1.0::DOUBLE / b), 9) AS mrr FROM best GROUP BY 1"
 )
 def rank_val_test_split(t: Tables) -> DataFrame:
-    best = R.best_ranks(R.ranked(_scores(t)), _truth(t)).withColumn("part", F.when(F.expr("(query div 50 * 37 + 42) % 100 < 50"), "val").otherwise("test"))
+    best = R.best_ranks(R.ranked(_scores(t)), _truth(t)).withColumn("part", F.when(R.hashed_split(F.col("query"), 0.5, 42), "val").otherwise("test"))
     return best.groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col("best_rank") <= 10).cast("double")).alias("hits_10"), F.round(F.avg(1.0 / F.col("best_rank")), 9).alias("mrr"))
 
 
@@ -427,10 +428,18 @@ def html_structure_similarity(t: Tables) -> DataFrame:
     return H.structure_similarity(pairs, c).withColumn("structure", F.round("structure", 9))
 
 
-@query()
+@query(
+    r"""WITH x AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+    m AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '(?i)<(p|h[1-6])(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), '(?i)</(?:p|h[1-6])\s*>', chr(3), 'g'), chr(1))[2:] AS c FROM x),
+    b AS (SELECT page_id, unnest(c) AS c, generate_subscripts(c, 1) AS ord FROM m),
+    s AS (SELECT page_id, ord, lower(split_part(c, chr(2), 1)) AS tag, list_filter(list_transform(string_split(regexp_replace(split_part(split_part(c, chr(2), 2), chr(3), 1), '(?s)<[^>]*>', chr(4), 'g'), chr(4)), lambda y: trim(regexp_replace(replace(replace(replace(replace(replace(y, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'))), lambda y: y <> '') AS parts FROM b),
+    k AS (SELECT page_id, ord, tag, array_to_string(parts, ' ') AS raw, trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(parts, ' '), '\([A-Z][^)]{0,60}\d{4}[a-z]?\)', '', 'g'), '(?m)[¹²³⁴⁵⁶⁷⁸⁹]|\d+$', '', 'g'), '\s+', ' ', 'g')) AS t FROM s),
+    h AS (SELECT page_id, arg_min(raw, ord) AS title FROM k WHERE tag = 'h1' GROUP BY 1)
+    SELECT page_id, coalesce(any_value(title), 'Unknown') AS title, 0::BIGINT AS section_ord, 'Abstract' AS section, md5(string_agg(t, ' ' ORDER BY ord)) AS digest FROM k LEFT JOIN h USING (page_id) WHERE tag = 'p' AND len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) >= 8 GROUP BY page_id"""
+)
 def html_sections(t: Tables) -> DataFrame:
     s = H.html_sections(t.pages)
-    return s.select(F.col("id").alias("page_id"), "title", "section_ord", "section", F.length("text").alias("chars"))
+    return s.select(F.col("id").alias("page_id"), "title", "section_ord", "section", F.md5("text").alias("digest"))
 
 
 @query(
@@ -745,33 +754,21 @@ def multi_seed_summary(t: Tables) -> DataFrame:
     return s.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
-@query(
-    with_sql("cites") + ", n AS (SELECT count(*) AS n FROM orders), k AS (SELECT unnest(range(10)) AS k) SELECT src, dst, k, CASE WHEN (src + k) % 2 = 0 THEN (src * 31 + dst * 17 + k * 7919) % n ELSE src END AS neg_src, CASE WHEN (src + k) % 2 = 0 THEN dst ELSE (src * 31 + dst * 17 + k * 7919) % n END AS neg_dst FROM cites, n, k"
-)
-def negative_sampling(t: Tables) -> DataFrame:
-    n = t.orders.count()
-    k = derived.cites(t).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
-    other = (F.col("src") * 31 + F.col("dst") * 17 + F.col("k") * 7919) % n
-    head = (F.col("src") + F.col("k")) % 2 == 0
-    return k.select("src", "dst", "k", F.when(head, other).otherwise(F.col("src")).alias("neg_src"), F.when(head, F.col("dst")).otherwise(other).alias("neg_dst"))
-
-
 # Registry and events
 
 
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(lower(c_name), '7')")
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND (contains(lower(c_name), '7') OR contains(c_custkey::VARCHAR, '7'))")
 def registry_search(t: Tables) -> DataFrame:
     from lattica.sources.readers import search_registry
 
-    r = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("domain"), F.lit(True).alias("processed"), "c_custkey")
-    r = r.withColumn("id", F.lit(""))
+    r = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("domain"), (F.col("c_acctbal") > 0).alias("processed"), "c_custkey")
     return search_registry(r, "7", "BUILDING", True).select("c_custkey", F.col("title").alias("c_name"), F.col("domain").alias("c_mktsegment"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_tumbling(t: Tables) -> DataFrame:
-    e = t.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return e.select("event_type", F.col("window.start").alias("hour"), "n", "total")
+    e = E.windowed(t.events)  # the stream's plan over a table: no watermark, every window closes
+    return e.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 4).alias("total"))
 
 
 @query(
@@ -779,8 +776,8 @@ def event_tumbling(t: Tables) -> DataFrame:
     SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k"""
 )
 def event_session(t: Tables) -> DataFrame:
-    e = t.events.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
-    return e.select("user_id", F.col("session_window.start").alias("started"), "n")
+    e = E.sessions(t.events)
+    return e.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
 
 
 @query("SELECT user_id, event_type, date_trunc('day', ts) AS day, min(event_id) AS event_id FROM events GROUP BY 1, 2, 3")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from lattica.functions import text as T
 
@@ -30,6 +31,40 @@ class LayoutReader(Protocol):
     def blocks(self, pdf: bytes) -> list[tuple[int, float, float, str]]: ...
 
 
+class CitationSource(Protocol):
+    """A citation service: what papers (external_id) cite and are cited by, as (external_id, other, title, year, citing)."""
+
+    def related(self, papers: DataFrame, limit: int) -> DataFrame: ...
+
+
+class TableCitations:
+    """The offline service: a table of citations (source, target) and one of papers (external_id, title, year)."""
+
+    def __init__(self, edges: DataFrame, papers: DataFrame):
+        self.edges, self.papers = edges, papers
+
+    def related(self, papers: DataFrame, limit: int = 10) -> DataFrame:
+        """References and citing papers, up to `limit` of each by id; one that is both comes twice."""
+        asked = papers.select("external_id").distinct()
+        out = self.edges.select(F.col("source").alias("external_id"), F.col("target").alias("other"), F.lit(False).alias("citing"))
+        back = self.edges.select(F.col("target").alias("external_id"), F.col("source").alias("other"), F.lit(True).alias("citing"))
+        both = out.union(back).join(asked, "external_id", "left_semi")
+        both = both.withColumn("_r", F.row_number().over(Window.partitionBy("external_id", "citing").orderBy("other"))).where(F.col("_r") <= limit)
+        return both.join(self.papers.withColumnRenamed("external_id", "other"), "other", "left").select("external_id", "other", "title", "year", "citing")
+
+
+def networks_from(source: CitationSource, papers: DataFrame, limit: int = 10) -> DataFrame:
+    """Citation networks (paper_id, external_id, title, year, root_concepts, nodes, edges) of papers (paper_id,
+    external_id, title, year), built from a service: references first, then citing papers."""
+    found = source.related(papers, limit)
+    node = F.struct("title", "year", F.lit(None).cast("string").alias("abstract"), F.lit(None).cast("int").alias("citation_count"), F.when(F.col("citing"), "cited_by").otherwise("references").alias("relation"), F.array().cast("array<string>").alias("concepts"))
+    edge = F.struct(F.when(F.col("citing"), F.col("other")).otherwise(F.col("external_id")).alias("source"), F.when(F.col("citing"), F.col("external_id")).otherwise(F.col("other")).alias("target"), F.lit("cites").alias("type"))
+    nodes = found.groupBy("external_id", "other").agg(F.min_by(node, "citing").alias("n")).groupBy("external_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("other", "n")))).alias("nodes"))
+    edges = found.groupBy("external_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    concepts = F.slice(F.array_distinct(T.concept_words(F.coalesce("title", F.lit("")))), 1, 15)
+    return papers.join(nodes, "external_id", "left").join(edges, "external_id", "left").select("paper_id", "external_id", "title", "year", concepts.alias("root_concepts"), "nodes", F.coalesce("edges", F.array().cast("array<struct<source:string,target:string,type:string>>")).alias("edges"))
+
+
 class EchoGenerator:
     """The offline stand-in: gives the text back, as a refiner that changes nothing."""
 
@@ -83,6 +118,12 @@ def refined(blocks: DataFrame, provider: Generator) -> DataFrame:
     return kept.unionByName(blocks.where(~F.coalesce(ask, F.lit(False))))
 
 
+def is_scanned(blocks: DataFrame, pages: int = 3, least_chars: int = 50) -> DataFrame:
+    """doc_id, scanned: documents whose first pages (numbered from 1) hold fewer than `least_chars` characters."""
+    chars = F.sum(F.when(F.col("page") <= pages, F.length("text")).otherwise(0))
+    return blocks.groupBy("doc_id").agg((F.coalesce(chars, F.lit(0)) < least_chars).alias("scanned"))
+
+
 def pdf_blocks(spark, paths: str, reader: LayoutReader) -> DataFrame:
     """doc_id (file name), ord, page, x, y, text of PDFs through a layout reader."""
 

@@ -14,7 +14,7 @@ from lattica.functions import text as T
 NODE = "struct<title:string,year:int,abstract:string,citation_count:int,relation:string,concepts:array<string>>"
 NETWORK = f"paper_id string, title string, year int, abstract string, citation_count int, root_concepts array<string>, nodes map<string,{NODE}>, edges array<struct<source:string,target:string,type:string>>"
 TRIPLES = "subject string, predicate string, object string, subject_type string, object_type string, source_sentence string, extraction_mode string, paper string, title string, section string"
-TOKEN_PATH = r".*/([^/]+)/[^/]*$"
+TOKEN_PATH = r".*/(?:paper_id=)?([^/]+)/[^/]*$"
 
 
 def entity_csv(spark: SparkSession, paths: str | list[str], true_only: bool = True) -> DataFrame:
@@ -63,7 +63,7 @@ def triples_json(spark: SparkSession, paths: str | list[str], paper_pattern: str
 
 def citation_networks(spark: SparkSession, paths: str | list[str], paper_pattern: str = TOKEN_PATH) -> DataFrame:
     """paper_id (from the path), external_id, title, year, root_concepts, nodes, edges, valid (a title that isn't the id)."""
-    raw = spark.read.schema(NETWORK).option("multiLine", True).json(paths)
+    raw = spark.read.schema(NETWORK).option("multiLine", True).option("recursiveFileLookup", True).json(paths)
     pid = F.regexp_extract(F.col("_metadata.file_path"), paper_pattern, 1)
     rows = raw.select(pid.alias("pid"), F.col("paper_id").alias("external_id"), "title", "year", "root_concepts", "nodes", "edges")
     return rows.withColumnRenamed("pid", "paper_id").withColumn("valid", T.is_valid_citation_title(F.col("title"), F.col("paper_id")))

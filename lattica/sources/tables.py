@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +45,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The files outlive every executor, so a lost one costs only the tasks that it was running.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for files of any format; drop_staged deletes it like a staged table."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small named file, through the file system that the path belongs to."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def get_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; where there is none, what build() gives is written there first."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again; what staged() didn't return is left alone."""
     for df in tables:

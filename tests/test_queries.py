@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lattica.plans.queries import QUERIES, SQL
+from lattica.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,7 +48,7 @@ def test_entry_runs(spark):
 
 
 def test_names_without_sql_are_known():
-    assert set(QUERIES) - set(SQL) == {"title_fuzzy_lookup", "html_sections"}
+    assert set(QUERIES) - set(SQL) == {"title_fuzzy_lookup"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
