@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,12 +59,31 @@ def resolve_subjects(rows: DataFrame, subject: str, forms: DataFrame, entities:
         out = out.join(f, T.entity_key(t) == F.col(f"_f{i}"), "left")
     first = F.coalesce(*(F.col(f"_c{i}") for i in range(len(tiers))))
     out = out.withColumn("_first", first).drop(*(f"_{x}{i}" for x in "fc" for i in range(len(tiers))))
-    names = out.where("_first is null").select(s.alias("_s")).distinct()
-    low_s, low_e = F.lower("_s"), F.lower("entity")
-    near = names.join(entities.select("ord", "entity"), F.contains(low_s, low_e) | F.contains(low_e, low_s)).groupBy("_s").agg(F.min_by("entity", "ord").alias("_near"))
+    names = out.where("_first is null").select(s.alias("_s"), F.lower(s).alias("_ls")).distinct()
+    e = entities.select("ord", "entity", F.lower("entity").alias("_le"))
+    within = [held_in(names, "_ls", e, "_le"), held_in(e, "_le", names, "_ls")]
+    near = reduce(DataFrame.unionByName, [x.select("_s", "entity", "ord") for x in within]).groupBy("_s").agg(F.min_by("entity", "ord").alias("_near"))
     return out.join(near, s == F.col("_s"), "left").withColumn("canonical", F.coalesce("_first", "_near")).drop("_first", "_near", "_s")
 
 
+def _grams(text: Column, n: int) -> Column:
+    count = F.length(text) - (n - 1)
+    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def held_in(long: DataFrame, long_col: str, short: DataFrame, short_col: str) -> DataFrame:
+    """Pairs of rows where one string is part of the other: long's holds short's. Each short string looks for one of
+    its trigrams (the one of least hash, so that no trigram is everybody's) among those of the long ones; strings of
+    one or two characters look for themselves."""
+    key = F.array_min(F.transform(_grams(F.col(short_col), 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    few = short.where(F.length(short_col) < 3)
+    has_few = not few.isEmpty()
+    grams = F.concat(_grams(F.col(long_col), 3), *([_grams(F.col(long_col), 1), _grams(F.col(long_col), 2)] if has_few else []))
+    keyed = short.withColumn("_key", F.coalesce(key, short_col))
+    found = long.withColumn("_key", F.explode(F.array_append(grams, F.lit("")) if has_few else grams)).join(keyed, "_key")
+    return found.where(F.contains(long_col, F.col(short_col))).drop("_key")
+
+
 def mentioned(texts: DataFrame, forms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, canonical of the entities whose forms stand in a text as whole words. Forms meet texts through word
     n-grams, so the join is on equality; a form's punctuation inside is kept as it is."""
@@ -124,11 +145,53 @@ def entity_rows(seeds: DataFrame, body: DataFrame, to_type: dict[str, str | None
     return out.where(F.col("rank") <= most) if most else out
 
 
+def _near_pairs(titles: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """Pairs (title_id, a, b, paper_id, ord) that include all with a ratio of `least` or more.
+
+    Let two strings have S characters together and M matched in pairs, 2 M >= least S. Their matched blocks number
+    (1 - least) S + 1 at most, for a character of either string is unmatched between any two, so they share
+    M - 2 (blocks) trigrams or more. A string of n characters thus meets any partner among all but so many of its own
+    trigrams (counted with repeats), and may leave out the most frequent ones. Strings too short for that bound meet
+    by bands of length.
+    """
+    width = (2 - least) / least
+    shared = least / 2 - 2 * (1 - least)  # trigrams for each character of both, less 2
+    if shared <= 0:
+        long_enough = F.lit(False)
+        least_shared = lambda n: F.lit(0)
+    else:
+        least_shared = lambda n: F.ceil(F.lit(shared) * (n + n / width) - 2)  # noqa: E731  (a partner has n / width characters at least)
+        long_enough = least_shared
+    ok = lambda c: (least_shared(F.length(c).cast("double")) >= 1) if shared > 0 else long_enough
+
+    def grams(rows: DataFrame, c: str) -> DataFrame:
+        n = F.length(c) - 2
+        g = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col(c), i, F.lit(3)))
+        each = rows.where(ok(c)).select(c, F.explode(g).alias("g"))
+        return each.groupBy(c, "g").agg(F.count("*").alias("k")).select(c, "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("k"))
+
+    left, right = grams(titles.select("a").distinct(), "a"), grams(index.select("b"), "b")
+    rank = left.select("g", "k").union(right.select("g", "k")).groupBy("g", "k").agg(F.count("*").alias("n"))
+
+    def rare(rows: DataFrame, c: str) -> DataFrame:
+        w = Window.partitionBy(c).orderBy("n", "g", "k")
+        keep = F.length(c) - 2 - least_shared(F.length(c).cast("double")) + 1
+        return rows.join(rank, ["g", "k"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select(c, "g", "k")
+
+    met = rare(left, "a").join(rare(right, "b"), ["g", "k"]).select("a", "b").distinct()
+    by_gram = titles.join(met, "a").join(index, "b").select("title_id", "a", "b", "paper_id", "ord")
+    # The rest: at least one of the two is short, so both are, by the ratio of their lengths
+    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(width))).cast("int")
+    short = titles.select("*", F.explode(F.array(*(band(F.length("a")) + d for d in (-1, 0, 1)))).alias("band")).join(index.withColumn("band", band(F.length("b"))), "band")
+    by_band = short.where(~ok("a") | ~ok("b")).select("title_id", "a", "b", "paper_id", "ord")
+    return by_gram.union(by_band)
+
+
 def lookup_titles(titles: DataFrame, index: DataFrame, least: float = 0.85) -> DataFrame:
     """title_id, paper_id, score: an index entry with the same normal title, else the most similar one.
 
-    Only titles without an exact hit go on to compare; two bounds of the ratio (lengths, then shared characters)
-    cut candidates before difflib sees them, and neither can lose a match.
+    Only titles without an exact hit go on to compare. Candidates share a rare trigram (see _near_pairs); two bounds of
+    the ratio (lengths, then shared characters) cut them before difflib sees them, and none can lose a match.
     """
     from lattica.functions.python_udfs import sequence_ratio
 
@@ -136,13 +199,8 @@ def lookup_titles(titles: DataFrame, index: DataFrame, least: float = 0.85) -> D
     i = index.groupBy(T.normal_title(F.col("title")).alias("b")).agg(F.max_by("paper_id", "ord").alias("paper_id"), F.min("ord").alias("ord"))
     exact = t.join(i, t["a"] == i["b"]).select("title_id", "paper_id", F.lit(1.0).alias("score"))
     rest = t.join(exact, "title_id", "left_anti")
-    # Lengths la, lb allow a ratio of 2 min / (la + lb) at most: lb lies within a factor of la, which makes bands an equi-join key
-    width = (2 - least) / least
-    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(width))).cast("int")
-    left = rest.select("*", F.explode(F.array(*(band(F.length("a")) + d for d in (-1, 0, 1)))).alias("band"))
-    right = i.withColumn("band", band(F.length("b")))
     la, lb = F.length("a"), F.length("b")
-    pairs = left.join(right, "band").where(2 * F.least(la, lb) >= least * (la + lb))
+    pairs = _near_pairs(rest, i, least).where(2 * F.least(la, lb) >= least * (la + lb))
     letters = lambda x: F.array_distinct(F.split(x, ""))
     counts = lambda x, y: F.aggregate(letters(x), F.lit(0), lambda acc, c: acc + F.least(F.length(x) - F.length(F.replace(x, c, F.lit(""))), F.length(y) - F.length(F.replace(y, c, F.lit("")))))
     near = pairs.where(2 * counts(F.col("a"), F.col("b")) >= least * (la + lb)).withColumn("score", sequence_ratio("a", "b")).where(F.col("score") >= least)

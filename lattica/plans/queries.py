@@ -61,6 +61,11 @@ def _truth(t: Tables) -> DataFrame:
     return q.join(e, "label").where("query <> vec_id").select("query", F.col("vec_id").alias("candidate"))
 
 
+def _best_ranks(t: Tables) -> DataFrame:
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return R.best_ranks_of_vectors(v.where("id % 50 = 0"), v, _truth(t))
+
+
 RANKED = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 scores AS (SELECT q.vec_id AS query, c.vec_id AS candidate, q.label = c.label AS is_true, round(list_cosine_similarity(q.e, c.e), 6) + 0.0 AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
@@ -69,7 +74,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 @query(RANKED + ", best AS (SELECT query, min(rank) AS b FROM ranked WHERE is_true GROUP BY query) SELECT count(*) AS n, avg((b <= 1)::INT) AS hits_1, avg((b <= 5)::INT) AS hits_5, avg((b <= 10)::INT) AS hits_10, round(avg(1.0::DOUBLE / b), 9) AS mrr FROM best")
 def rank_hits_mrr(t: Tables) -> DataFrame:
-    return R.evaluate(_scores(t), _truth(t)).withColumn("mrr", F.round("mrr", 9))
+    return R.hits_and_mrr(_best_ranks(t)).withColumn("mrr", F.round("mrr", 9))
+
+
+@query(RANKED + ", best AS (SELECT query, min(rank) AS b FROM ranked WHERE is_true GROUP BY query) SELECT count(*) AS n, avg((b <= 10)::INT) AS hits_10, round(avg(1.0::DOUBLE / b), 9) AS mrr FROM best")
+def ranker_hook(t: Tables) -> DataFrame:
+    """Any ranker's scores can be evaluated; this one's are cosines."""
+    return R.evaluate(_scores(t), _truth(t)).select("n", "hits_10", F.round("mrr", 9).alias("mrr"))
 
 
 @query(RANKED + " SELECT query, candidate, score, rank FROM ranked WHERE rank <= 10")
@@ -92,7 +103,7 @@ def truth_ranks(t: Tables) -> DataFrame:
     + ", best AS (SELECT query, min(rank) AS b FROM ranked WHERE is_true GROUP BY query) SELECT CASE WHEN ('0x' || substr(md5('42:' || query), 1, 8))::BIGINT % 1000000 < 500000 THEN 'val' ELSE 'test' END AS part, count(*) AS n, avg((b <= 10)::INT) AS hits_10, round(avg(1.0::DOUBLE / b), 9) AS mrr FROM best GROUP BY 1"
 )
 def rank_val_test_split(t: Tables) -> DataFrame:
-    best = R.best_ranks(R.ranked(_scores(t)), _truth(t)).withColumn("part", F.when(R.hashed_split(F.col("query"), 0.5, 42), "val").otherwise("test"))
+    best = _best_ranks(t).withColumn("part", F.when(R.hashed_split(F.col("query"), 0.5, 42), "val").otherwise("test"))
     return best.groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col("best_rank") <= 10).cast("double")).alias("hits_10"), F.round(F.avg(1.0 / F.col("best_rank")), 9).alias("mrr"))
 
 
