@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lattica.functions import text as T
@@ -76,21 +76,27 @@ def column_order(blocks: DataFrame, by: list[str]) -> DataFrame:
 def merge_lines(blocks: DataFrame, by: list[str], dy: float = 10, dx: float = 10) -> DataFrame:
     """by, page, col, first, x, y, text: lines (ord, x, y, text) merged onto the anchor line of their group.
 
-    A line joins while it lies less than dy below and dx beside the group's first line, so the fold compares with
-    the anchor and not with the line before. Groups are small (lines of one column of a page).
+    A line joins while it lies less than dy below and dx beside the group's first line, so each anchor depends on the
+    one before and a column of a page is walked once, in order: time and memory are in proportion to its lines.
     """
-    rows = F.array_sort(F.collect_list(F.struct("y", "ord", "x", "text")))
-    start = F.expr("cast(array() as array<struct<y:double,x:double,ord:bigint,text:string>>)")
-
-    def step(acc, b):
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (b["y"] - F.try_element_at(acc, F.lit(-1))["y"] > 0) & (b["y"] - F.try_element_at(acc, F.lit(-1))["y"] < dy) & (F.abs(b["x"] - F.try_element_at(acc, F.lit(-1))["x"]) < dx)
-        grown = F.struct(last["y"].alias("y"), last["x"].alias("x"), last["ord"].alias("ord"), F.concat_ws(" ", last["text"], b["text"]).alias("text"))
-        fresh = F.struct(b["y"].cast("double").alias("y"), b["x"].cast("double").alias("x"), b["ord"].cast("bigint").alias("ord"), b["text"].alias("text"))
-        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    merged = blocks.groupBy(*by, "page", "col").agg(rows.alias("_b")).withColumn("_m", F.aggregate("_b", start, step))
-    return merged.select(*by, "page", "col", F.explode("_m").alias("m")).select(*by, "page", "col", F.col("m.ord").alias("first"), "m.x", "m.y", "m.text")
+
+    def walk(lines: pd.DataFrame) -> pd.DataFrame:
+        x, y = lines["x"].to_numpy(float), lines["y"].to_numpy(float)
+        order = np.lexsort((lines["ord"].to_numpy(), y))
+        heads: list[int] = []
+        for k, i in enumerate(order):
+            a = order[heads[-1]] if heads else i
+            if not (heads and 0 < y[i] - y[a] < dy and abs(x[i] - x[a]) < dx):
+                heads.append(k)
+        text = lines["text"].to_numpy(object)[order]
+        ends = [*heads[1:], len(order)]
+        merged = [" ".join(t for t in text[a:b] if t is not None) for a, b in zip(heads, ends, strict=True)]
+        return lines.iloc[order[heads]].assign(first=lambda d: d["ord"], text=merged)[[*by, "page", "col", "first", "x", "y", "text"]]
+
+    rows = blocks.select(*by, "page", "col", F.col("ord").cast("long").alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text")
+    kinds = [StructField(f.name, f.dataType) for f in rows.select(*by, "page", "col").schema]
+    schema = StructType([*kinds, StructField("first", LongType()), StructField("x", DoubleType()), StructField("y", DoubleType()), StructField("text", StringType())])
+    return rows.groupBy(*by, "page", "col").applyInPandas(walk, schema)
 
 
 def _kmeans_1d(x: np.ndarray, k: int) -> np.ndarray:

@@ -149,7 +149,13 @@ def concept_overlap(t: Tables) -> DataFrame:
 )
 def tfidf_cosine_topk(t: Tables) -> DataFrame:
     v = staged(C.tfidf(t.documents, "doc_id", "text"), "tfidf")
-    return R.ranked(C.cosine_by_term(v.where("id % 50 = 0"), v).withColumn("score", F.round("score", 6)), 10)
+    return R.ranked(C.nearest_by_term(v.where("id % 50 = 0"), v, 10), 10)
+
+
+@query("WITH w AS (SELECT item_id, unnest(list_distinct(string_split(text, ' '))) AS term FROM benchmark) SELECT a.item_id AS query, b.item_id AS candidate, count(*) * 1.0::DOUBLE AS score FROM w a JOIN w b USING (term) WHERE a.item_id <> b.item_id AND a.item_id % 5 = 0 GROUP BY 1, 2")
+def term_overlaps(t: Tables) -> DataFrame:
+    v = t.benchmark.select(F.col("item_id").alias("id"), F.explode(F.array_distinct(F.split("text", " "))).alias("term"), F.lit(1.0).alias("w"))
+    return C.cosine_by_term(v.where("id % 5 = 0"), v)
 
 
 # Sentences and packing

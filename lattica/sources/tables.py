@@ -103,11 +103,11 @@ class VersionedTables:
     """Named tables under one folder, a new version for each commit.
 
     A version is written in full before the commit row that names it; readers see the last committed one. The
-    commit log is itself a table, so any store that Spark can write will do.
+    commit log is itself a table, so any store that Spark can write will do. Versions older than the last `keep` go.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def version(self) -> int:
         log = f"{self.root}/_commits"
@@ -118,6 +118,9 @@ class VersionedTables:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
         self.spark.range(1).select(F.lit(v).alias("version"), F.lit(",".join(tables)).alias("tables")).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+        for name in tables:  # readers of the last `keep` versions are safe
+            if v > self.keep and exists(self.spark, old := f"{self.root}/{name}/v={v - self.keep}"):
+                _delete(self.spark, old)
         return v
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
