@@ -1,21 +1,27 @@
-"""Knowledge-graph embeddings: TransE, ComplEx and RotatE in numpy, trained as one Spark task for each run.
+"""Knowledge-graph embeddings: TransE, ComplEx and RotatE in numpy.
 
-Runs (model, seed, settings) are independent, so a sweep over models and seeds is a grouped map: each task reads
-the indexed triples and returns its entity matrix. A run's triples must fit one task, as they do in the reference
-use (tens of thousands); MOST_TRIPLES guards that.
+Runs (model, seed, settings) are independent. A run of up to MOST_TRIPLES triples and BUCKET entities is one task of a
+grouped map, so a sweep over models and seeds trains side by side. A larger run is trained in buckets of entities:
+each round pairs the buckets off, every pair is a task that holds two buckets and the triples between them, and after
+as many rounds as buckets each triple was seen once. Vectors are written to the shared folder between rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.sources.tables import discard, staged
+
 MOST_TRIPLES = 20_000_000
+BUCKET = 200_000
 EPS = 1e-9
 
 
@@ -154,16 +160,17 @@ def train(triples: np.ndarray, entities: int, relations: int, s: Settings, seed:
     return ent, rel, losses
 
 
-def train_runs(triples: DataFrame, entities: int, relations: int, runs: list[tuple[Settings, int]]) -> DataFrame:
-    """model, seed, id, v of every run's entities; each run is one task, so seeds and models train side by side."""
-    if (n := triples.count()) > MOST_TRIPLES:
-        raise ValueError(f"{n} triples are too many for one task; train on a sample or a subgraph")
+def train_runs(triples: DataFrame, entities: int, relations: int, runs: list[tuple[Settings, int]], most_triples: int = MOST_TRIPLES, bucket: int = BUCKET) -> DataFrame:
+    """model, seed, id, v of every run's entities."""
     spark = triples.sparkSession
+    if triples.count() > most_triples or entities > bucket:
+        parts = [train_in_buckets(triples, entities, relations, s, seed, bucket).select(F.lit(s.model).alias("model"), F.lit(seed).cast("long").alias("seed"), "id", "v") for s, seed in runs]
+        return reduce(DataFrame.union, parts)
     table = spark.createDataFrame([(k, s.model, seed) for k, (s, seed) in enumerate(runs)], "run int, model string, seed long")
     settings = [asdict(s) for s, _ in runs]
     rows = triples.select("h", "r", "t").crossJoin(table.select("run"))  # the runs are a short stated list
 
-    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         k = int(key[0])
         data = own[["h", "r", "t"]].sort_values(["h", "r", "t"]).to_numpy(np.int64)
         ent, _, _ = train(data, entities, relations, Settings(**settings[k]), runs[k][1])
@@ -173,6 +180,72 @@ def train_runs(triples: DataFrame, entities: int, relations: int, runs: list[tup
     return out.join(F.broadcast(table), "run").select("model", "seed", "id", "v")
 
 
+def _adagrad(x: np.ndarray, squares: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    """Moves only the rows that have a gradient."""
+    own, back = np.unique(rows, return_inverse=True)
+    g = np.zeros((len(own), x.shape[1]))
+    np.add.at(g, back, grads)
+    squares[own] += g * g
+    x[own] -= rate * g / np.sqrt(squares[own] + 1e-10)
+
+
+def train_in_buckets(triples: DataFrame, entities: int, relations: int, s: Settings, seed: int, bucket: int = BUCKET) -> DataFrame:
+    """id, v of a run whose entities or triples are too many for a task. The relation matrix (one row for each relation
+    of the ontology) lives on the driver and is averaged over tasks by the triples they saw; negatives come from the
+    two buckets at hand."""
+    spark = triples.sparkSession
+    p = max(1, -(-entities // bucket))
+    rng = np.random.default_rng(seed)
+    _, we, _ = MODELS[s.model]
+    rel = initial(s, 1, relations, rng)[1]
+    bound = 6 / s.dim**0.5
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            v = np.stack([np.random.default_rng((seed, int(i))).uniform(-bound, bound, we * s.dim) for i in ids]) if len(ids) else np.empty((0, we * s.dim))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), we * s.dim).cast(pa.list_(pa.float64()))], names=["id", "v"])
+
+    vectors = staged(spark.range(entities).mapInArrow(start, "id long, v array<double>"), "entity-vectors")
+    rows = staged(triples.select("h", "r", "t", ((F.col("h") + F.col("t")) % p).alias("round"), F.least(F.col("h") % p, F.col("t") % p).alias("pair")), "bucketed-triples")
+    score = MODELS[s.model][0]
+    k = max(s.negatives, 1)
+    for step in range(s.epochs * p):
+        now = step % p
+        held = spark.sparkContext.broadcast(rel)
+
+        def work(key: tuple, own: pd.DataFrame, ents: pd.DataFrame) -> pd.DataFrame:  # runs before the next step
+            r = np.random.default_rng((seed, step, int(key[0])))
+            ents = ents.sort_values("id")
+            ids, x, rel = ents["id"].to_numpy(), np.stack(ents["v"].to_numpy()), held.value.copy()
+            data = own[["h", "r", "t"]].sort_values(["h", "r", "t"]).to_numpy(np.int64)
+            data[:, 0], data[:, 2] = np.searchsorted(ids, data[:, 0]), np.searchsorted(ids, data[:, 2])
+            sx, sr = np.zeros_like(x), np.zeros_like(rel)
+            order = r.permutation(len(data))
+            for i in range(0, len(order), s.batch):
+                pos = data[order[i : i + s.batch]]
+                neg = corrupt(pos, len(ids), k, r)
+                sp = score(x[pos[:, 0]], rel[pos[:, 1]], x[pos[:, 2]])
+                sn = score(x[neg[:, 0]], rel[neg[:, 1]], x[neg[:, 2]]).reshape(len(pos), k)
+                _, gp, gn = loss_and_gradients(s, sp, sn)
+                both, g = np.concatenate([pos, neg]), np.concatenate([gp, gn.ravel()])
+                dh, dr, dt = score(x[both[:, 0]], rel[both[:, 1]], x[both[:, 2]], g)
+                _adagrad(x, sx, np.concatenate([both[:, 0], both[:, 2]]), np.concatenate([dh, dt]), s.rate)
+                _adagrad(rel, sr, both[:, 1], dr, s.rate)
+            moved = pd.DataFrame({"id": -1 - np.arange(len(rel)), "v": list((rel - held.value) * len(data)), "n": len(data)})
+            return pd.concat([pd.DataFrame({"id": ids, "v": list(x), "n": 0}), moved])
+
+        other = F.pmod(F.lit(now) - F.col("id") % p, F.lit(p))
+        mine = vectors.withColumn("pair", F.least(F.col("id") % p, other))
+        out = staged(rows.where(F.col("round") == now).groupBy("pair").cogroup(mine.groupBy("pair")).applyInPandas(work, "id long, v array<double>, n long"), "entity-vectors")
+        moved = out.where("id < 0").select("id", F.posexplode("v").alias("d", "x"), "n").groupBy("id", "d").agg((F.sum("x") / F.greatest(F.sum("n"), F.lit(1))).alias("x")).collect()  # the size of the relation matrix
+        for m in moved:
+            rel[-1 - m["id"], m["d"]] += m["x"]
+        before, vectors = vectors, staged(out.where("id >= 0").select("id", "v"), "entity-vectors")
+        discard(before, out)
+    return vectors
+
+
 def save(vectors: DataFrame, vocabulary: DataFrame, s: Settings, path: str) -> None:
     """A checkpoint: entity vectors, vocabulary and settings."""
     spark = vectors.sparkSession

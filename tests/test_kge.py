@@ -97,3 +97,19 @@ def test_metrics_at_the_edges(spark):
     assert (a, b) == ranking.exact_split([5, 4, 3, 2, 1], 0.5, 42) and not a & b and len(a) == 2
     few = ranking.sampled_by_stratum(spark.range(100).selectExpr("id", "id % 4 AS s"), "s", "id", 3, 10, 17).collect()
     assert len(few) == 10 and len({r.id for r in few}) == 10
+
+
+@pytest.mark.parametrize("name", sorted(kge.MODELS))
+def test_training_in_buckets_learns_and_repeats(spark, name):
+    """Three buckets of entities: every triple is seen once an epoch, and the same seed gives the same vectors."""
+    t = spark.createDataFrame([tuple(map(int, x)) for x in ring()], "h long, r long, t long")
+    s = kge.Settings(model=name, dim=8, epochs=4, batch=16, negatives=4, rate=0.3)
+
+    def vectors():
+        rows = kge.train_runs(t, 24, 2, [(s, 3)], bucket=8).collect()
+        assert {(r.model, r.seed) for r in rows} == {(name, 3)} and sorted(r.id for r in rows) == list(range(24))
+        return np.array([r.v for r in sorted(rows, key=lambda r: r.id)])
+
+    a = vectors()
+    assert (a == vectors()).all() and np.isfinite(a).all()
+    assert len(np.unique(a.round(6), axis=0)) == 24
