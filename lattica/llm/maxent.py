@@ -1,13 +1,17 @@
 """Log probabilities of texts under a hashed maximum-entropy language model.
 
-A word's class follows from its last two bytes. The model is
+A word's class follows from its last two bytes, its subclass within the class from a hash of it all. The model is
 
-    P(w | h) = (1 - r(h)) P(class(w) | h) P(w | class(w)) + r(h) [w is the word before],
+    P(w | h) = (1 - r(h)) P(class | h) (1 - u(class)) P(sub | class, h) P(w | class, sub) + r(h) [w is the word before]
 
-with P(class | h) a softmax over sums of weights of hashed features of the words before: the last one, the last
-two, the one before the last alone (a skip), and the last two classes. P(w | class) comes from counts over all
-training documents with a discount; the discounted mass of a class stands for its unseen words, so every class
-sums to one. r(h) is the share of repeats, by whether the word before was itself one.
+for a word w that training documents hold, and (1 - r(h)) P(class | h) u(class) for an unseen one, so every class sums
+to one over its known words and one unseen word. P(class | h) is a softmax over sums of weights of hashed features of
+the words before: the last one, the last two, the one before the last alone (a skip), and the last two classes.
+P(sub | class, h) is one over the class's subclasses that hold a known word, by the class and features that join it
+with the last word and with the skip. So features tell words apart down to CLASSES * SUBS leaves; within a leaf
+P(w | leaf) comes from discounted counts over all training documents, and u(class) is the discounted share. r(h) is
+the share of repeats, by whether the word before was itself one. What grows with the corpus are the word counts; the
+table of feature weights has a fixed size.
 
 Weights are trained by distributed gradient updates: every document is seen once, in ROUNDS passes over disjoint
 parts; a task runs minibatch updates on its own documents from the broadcast weights (a fixed-size table), and
@@ -39,9 +43,12 @@ from lattica.llm.labels import held_out
 FOLDS = 10
 BLOCK_BYTES = 16 << 20
 BLOCKS_A_TASK = 2
-CLASSES = 32
+CLASSES = SUBS = 32
 BINS = 1024
 FEATURES = 4
+SUB_BINS = 4096
+SUB_FEATURES = 3  # the class alone, and with each of the two words before
+ROWS = FEATURES * BINS + CLASSES + (SUB_FEATURES - 1) * SUB_BINS
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.2
@@ -95,6 +102,21 @@ class Tokens:
         out[:, 3] = 3 * BINS + (c[one].astype(np.int32) * CLASSES + c[two]) % BINS
         return out
 
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Subclass within the class, and the leaf that both name."""
+        sub = (self.h >> np.uint64(37)) % np.uint64(SUBS)
+        return sub.astype(np.uint8), self.cls.astype(np.int32) * SUBS + sub.astype(np.int32)
+
+    def sub_features(self) -> np.ndarray:
+        """Rows of the weight table that choose each token's subclass (tokens x SUB_FEATURES)."""
+        h, own = np.append(self.h, np.uint64(1)), self.cls.astype(np.uint64) + np.uint64(1)
+        out = np.empty((len(self.h), SUB_FEATURES), np.int32)
+        out[:, 0] = self.cls.astype(np.int32) + FEATURES * BINS
+        for k in range(SUB_FEATURES - 1):
+            row = mix(h[self.before(k + 1)] * np.uint64(5 + 2 * k) + own * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SUB_BINS)
+            out[:, k + 1] = FEATURES * BINS + CLASSES + k * SUB_BINS + row.astype(np.int32)
+        return out
+
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
         """Whether a token repeats the one before, and its state: 0 no token before, 1 that one was no repeat, 2 it was."""
         one = self.before(1)
@@ -102,23 +124,26 @@ class Tokens:
         return same, np.where(one < 0, 0, 1 + same[one])
 
 
-def class_logs(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """log P(class | features) for every class, in sparse batches: only the rows that features name are read."""
+def class_logs(weights: np.ndarray, features: np.ndarray, shut: np.ndarray | None = None) -> np.ndarray:
+    """log P(choice | features) for every class or subclass, in sparse batches: only the rows that features name are
+    read. shut (tokens x choices) is very negative where there is no such choice."""
     s = weights[features[:, 0]]
-    for k in range(1, FEATURES):
+    if shut is not None:
+        s += shut
+    for k in range(1, features.shape[1]):
         s += weights[features[:, k]]
     s -= s.max(1, keepdims=True)
     s -= np.log(np.exp(s).sum(1, keepdims=True))
     return s
 
 
-def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, features: np.ndarray, cls: np.ndarray) -> None:
-    """Minibatch gradient updates (adaptive rates) over these tokens, in place."""
+def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, features: np.ndarray, cls: np.ndarray, shut: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+    """Minibatch gradient updates (adaptive rates) over these tokens, in place; shut[of] are choices that aren't there."""
     for i in range(0, len(cls), BATCH):
         f, y = features[i : i + BATCH], cls[i : i + BATCH]
-        g = np.exp(class_logs(weights, f))
+        g = np.exp(class_logs(weights, f, None if shut is None else shut[of[i : i + BATCH]]))
         g[np.arange(len(y)), y] -= 1
-        for k in range(FEATURES):
+        for k in range(f.shape[1]):
             order = np.argsort(f[:, k], kind="stable")
             rows = f[order, k]
             head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
@@ -129,6 +154,29 @@ def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, features:
             met[own] += np.diff(np.append(head, len(rows)))
 
 
+@dataclass
+class Counts:
+    """What the training tokens of each leaf come to."""
+
+    mass: np.ndarray  # tokens
+    kinds: np.ndarray  # different words
+    single: np.ndarray  # words that occur once
+
+    def __post_init__(self):
+        mass, kinds, single = (x.reshape(CLASSES, SUBS).sum(1) for x in (self.mass, self.kinds, self.single))
+        self.discount = np.clip(np.maximum(single, 0.5) / np.maximum(kinds, 1), 0, 0.9)  # taken off each word, by class
+        self.unseen = np.where(mass > 0, self.discount * kinds / np.maximum(mass, 1), 1.0)  # u(class)
+        self.left = self.mass - np.repeat(self.discount, SUBS) * self.kinds
+        self.shut = np.where(self.mass.reshape(CLASSES, SUBS) > 0, 0, -1e9).astype(np.float32)
+        self.shut[mass == 0] = 0  # nothing is chosen there
+
+    def within(self, count: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """(1 - u(class)) P(w | leaf) of known words, u(class) of unseen ones."""
+        d = self.discount[cls]
+        known = (1 - self.unseen[cls]) * (count - d) / np.where(self.left[leaf] > 0, self.left[leaf], 1)
+        return np.where(count > 0, known, self.unseen[cls])
+
+
 @dataclass
 class Model:
     """Of fixed size, whatever the corpus."""
@@ -136,19 +184,22 @@ class Model:
     weights: np.ndarray
     repeat: np.ndarray  # by state
     tokens: int
-    kinds: int
-    mass: np.ndarray  # training tokens of each class
-    discount: np.ndarray  # taken off each word of a class
-    unseen: np.ndarray  # probability of an unseen word within its class
+    counts: Counts
 
     def score(self, t: Tokens, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token, under the base and under the model."""
-        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (self.kinds + 1)))
-        f = t.features()
+        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (self.counts.kinds.sum() + 1)))
+        sub, leaf = t.leaves()
+        f, sub_f = t.features(), t.sub_features()
         p = np.empty(len(t.h))
         for i in range(0, len(p), BATCH):
-            p[i : i + BATCH] = np.exp(np.take_along_axis(class_logs(self.weights, f[i : i + BATCH]), t.cls[i : i + BATCH, None].astype(np.intp), 1)[:, 0])
-        within = np.where(count > 0, (count - self.discount[t.cls]) / np.maximum(self.mass[t.cls], 1), self.unseen[t.cls])
+            part = slice(i, i + BATCH)
+            at = lambda logs, own: np.take_along_axis(logs, own[:, None].astype(np.intp), 1)[:, 0]
+            p[part] = at(class_logs(self.weights, f[part]), t.cls[part])
+            known = np.flatnonzero(count[part] > 0) + i
+            p[known] += at(class_logs(self.weights, sub_f[known], self.counts.shut[t.cls[known]]), sub[known])
+        p = np.exp(p)
+        within = self.counts.within(count, t.cls, leaf)
         same, state = t.repeats()
         r = self.repeat[state]
         return base, np.log10((1 - r) * p * within + r * same)
@@ -171,21 +222,21 @@ def blocked(docs: DataFrame) -> DataFrame:
     return stage(rows.mapInArrow(run, f"block long, doc_id {kind}, held_out boolean, text string"), "blocked")
 
 
-def _merge(keys: list[np.ndarray], cls: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merge(keys: list[np.ndarray], leaf: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return key, np.concatenate(cls)[first], np.bincount(back.ravel(), np.concatenate(n), len(key)).astype(np.int64)
+    return key, np.concatenate(leaf)[first], np.bincount(back.ravel(), np.concatenate(n), len(key)).astype(np.int64)
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """block, h, cls, n: every word of a block and how often its training rows have it."""
+    """block, h, leaf, n: every word of a block and how often its training rows have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
             if parts:
-                key, cls, n = _merge(*(list(x) for x in zip(*parts, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), now)), pa.array(key.view(np.int64)), pa.array(cls.astype(np.int32)), pa.array(n)], names=["block", "h", "cls", "n"])
+                key, leaf, n = _merge(*(list(x) for x in zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), now)), pa.array(key.view(np.int64)), pa.array(leaf.astype(np.int32)), pa.array(n)], names=["block", "h", "leaf", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -198,15 +249,15 @@ def block_words(blocks: DataFrame) -> DataFrame:
                     rows = part.slice(a, b - a)
                     t = Tokens.of(as_bytes(rows.column("text")))
                     train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(t.first))
-                    parts.append(_merge([t.h], [t.cls], [train]))
+                    parts.append(_merge([t.h], [t.leaves()[1]], [train]))
                     if len(parts) == 8:
                         parts = [_merge(*(list(x) for x in zip(*parts, strict=True)))]
         yield from done()
 
-    return blocks.select("block", "held_out", "text").mapInArrow(run, "block long, h long, cls int, n long")
+    return blocks.select("block", "held_out", "text").mapInArrow(run, "block long, h long, leaf int, n long")
 
 
-def train_round(blocks: DataFrame, weights: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+def train_round(blocks: DataFrame, weights: np.ndarray, which: int, shut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The averaged weights after one pass over the training rows of one part, and the counts of repeats."""
     spark = blocks.sparkSession
     start = spark.sparkContext.broadcast(weights)
@@ -219,6 +270,7 @@ def train_round(blocks: DataFrame, weights: np.ndarray, which: int) -> tuple[np.
             for part in slices(batch, "text"):
                 t = Tokens.of(as_bytes(part.column("text")))
                 descend(w, squares, met, t.features(), t.cls)
+                descend(w, squares, met, t.sub_features(), t.leaves()[0], shut, t.cls)
                 same, state = t.repeats()
                 seen[:6] += np.bincount(state * 2 + same, minlength=6)
         own = np.flatnonzero(met)
@@ -244,19 +296,18 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocks = blocked(docs)
     own_words = stage(block_words(blocks), "block_words")
-    totals = stage(own_words.groupBy("h", "cls").agg(F.sum("n").alias("c")), "totals")
-    known = totals.where("c > 0").groupBy("cls").agg(F.sum("c").alias("mass"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
-    mass, kinds, single = (np.zeros(CLASSES) for _ in range(3))
-    for r in known.collect():  # a row for each class
-        mass[r["cls"]], kinds[r["cls"]], single[r["cls"]] = r["mass"], r["kinds"], r["single"]
-    discount = np.clip(np.maximum(single, 0.5) / np.maximum(kinds, 1), 0, 0.9)
-    unseen = np.where(mass > 0, discount * kinds / np.maximum(mass, 1), 1.0)
-    weights, seen = np.zeros((FEATURES * BINS, CLASSES), np.float32), np.zeros(6)
+    totals = stage(own_words.groupBy("h", "leaf").agg(F.sum("n").alias("c")), "totals")
+    known = totals.where("c > 0").groupBy("leaf").agg(F.sum("c").alias("mass"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
+    mass, kinds, single = (np.zeros(CLASSES * SUBS) for _ in range(3))
+    for r in known.collect():  # a row for each leaf
+        mass[r["leaf"]], kinds[r["leaf"]], single[r["leaf"]] = r["mass"], r["kinds"], r["single"]
+    counts = Counts(mass, kinds, single)
+    weights, seen = np.zeros((ROWS, CLASSES), np.float32), np.zeros(6)
     for k in range(ROUNDS):
-        weights, more = train_round(blocks, weights, k)
+        weights, more = train_round(blocks, weights, k, counts.shut)
         seen += more
     repeat = np.where([False, True, True], (seen[1::2] + 0.5) / (seen[0::2] + seen[1::2] + 1), 0.0)
-    model = spark.sparkContext.broadcast(Model(weights, repeat, int(mass.sum()), int(kinds.sum()), mass, discount, unseen))
+    model = spark.sparkContext.broadcast(Model(weights, repeat, int(mass.sum()), counts))
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
         m = model.value

@@ -157,25 +157,92 @@ def test_language_model_sums_to_one():
     texts = [" ".join(rng.choice([f"w{chr(97 + i % 26)}{chr(97 + i % 7)}{i}" for i in range(50)], 40)).encode() for _ in range(20)]
     t = maxent.Tokens.of(texts)
     key, first, n = np.unique(t.h, return_index=True, return_counts=True)
-    cls = t.cls[first]
-    mass, kinds, single = (np.bincount(cls, w, maxent.CLASSES) for w in (n, np.ones(len(n)), (n == 1)))
-    discount = np.clip(np.maximum(single, 0.5) / np.maximum(kinds, 1), 0, 0.9)
-    unseen = np.where(mass > 0, discount * kinds / np.maximum(mass, 1), 1.0)
-    weights = rng.normal(size=(maxent.FEATURES * maxent.BINS, maxent.CLASSES)).astype(np.float32)
-    model = maxent.Model(weights, np.array([0, 0.1, 0.3]), int(n.sum()), len(key), mass, discount, unseen)
+    cls, leaf, leaves = t.cls[first], t.leaves()[1][first], maxent.CLASSES * maxent.SUBS
+    mass, kinds, single = (np.bincount(leaf, w, leaves) for w in (n, np.ones(len(n)), (n == 1)))
+    weights = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    model = maxent.Model(weights, np.array([0, 0.1, 0.3]), int(n.sum()), maxent.Counts(mass, kinds, single))
     context = maxent.Tokens.of([b"wab1 wbc2 next"])
     total = 0.0
-    for h, c, count in [*zip(key, cls, n, strict=True), *((np.uint64(10**9 + c), c, 0) for c in range(maxent.CLASSES))]:
+    new = [(np.uint64(10**9 + c), c, 0) for c in range(maxent.CLASSES)]  # an unseen word of each class
+    for h, c, count in [*zip(key, cls, n, strict=True), *new]:
         x = maxent.Tokens(context.h.copy(), context.cls.copy(), context.first)
         x.h[2], x.cls[2] = h, c
         total += 10 ** model.score(x, np.array([1, 1, count, 1]))[1][2]
     repeated = context.h[1] in key
-    assert abs(total - (1 if repeated else 1 - model.repeat[1])) < 1e-5
+    assert abs(total - (1 if repeated else 1 - model.repeat[1])) < 1e-4
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """The whole query against plain Python: features, leaves, counts, discounts and repeats word by word, with the
+    weights that the query trained (their training is tested below)."""
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdef')}{rng.choice('ghij')}{rng.choice('klmnopq')}" for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words[: 10 + 30 * (i % 2)]) for _ in range(rng.randint(0, 40)))) for i in range(120)] + [(200, "klm klm klm new9 klm"), (None, "abc"), (201, None)]
+    made = []
+    start = maxent.Model.__init__
+    monkeypatch.setattr(maxent.Model, "__init__", lambda self, *a: (start(self, *a), made.append(self))[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in maxent.score_texts(docs).collect())
+    model = made[0]
+
+    def of(text):
+        """(hash, class, subclass, key) of every token, the end last."""
+        t = maxent.Tokens.of([(text or "").encode()])
+        return list(zip(map(int, t.h), map(int, t.cls), map(int, t.leaves()[0]), low(text or "").split() + [None], strict=True))
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    count, leaf_of, again = Counter(), {}, Counter()
+    for i, text in rows:
+        if not held(i):
+            before, was = None, None
+            for h, c, sub, w in of(text):
+                count[w] += 1
+                leaf_of[w] = (c, sub)
+                state = 0 if before is None else 1 + bool(was)
+                was = before is not None and h == before
+                again[state, was] += 1
+                before = h
+    mass, kinds, once = Counter(), Counter(), Counter()
+    for w, n in count.items():
+        mass[leaf_of[w]] += n
+        kinds[leaf_of[w]] += 1
+        once[leaf_of[w]] += n == 1
+    u64 = lambda x: np.array([x % (1 << 64)], np.uint64)
+
+    def soft(features, choice, among=None):
+        s = sum(model.weights[f].astype(float) for f in features)
+        return s[choice] - math.log(sum(math.exp(x) for k, x in enumerate(s) if among is None or k in among))
+
+    def score(text):
+        total, tokens = 0.0, of(text)
+        was = False
+        for k, (h, c, sub, w) in enumerate(tokens):
+            h1, c1 = (tokens[k - 1][0], tokens[k - 1][1]) if k > 0 else (1, 0)
+            h2, c2 = (tokens[k - 2][0], tokens[k - 2][1]) if k > 1 else (1, 0)
+            b = maxent.BINS
+            rows = [h1 % b, b + int(maxent.mix(u64(h1 * 3 + h2 * 7))[0]) % b, 2 * b + (h2 >> 20) % b, 3 * b + (c1 * maxent.CLASSES + c2) % b]
+            subs = [4 * b + c] + [4 * b + maxent.CLASSES + j * maxent.SUB_BINS + int(maxent.mix(u64(x * (5 + 2 * j) + (c + 1) * 0x9E3779B97F4A7C15))[0]) % maxent.SUB_BINS for j, x in enumerate((h1, h2))]
+            leaf = (c, sub)
+            of_class = lambda x, c=c: sum(n for (k, _), n in x.items() if k == c)
+            d = min(max(of_class(once), 0.5) / max(of_class(kinds), 1), 0.9)
+            unseen = d * of_class(kinds) / of_class(mass) if of_class(mass) else 1.0
+            choose = soft(subs, sub, [x for x in range(maxent.SUBS) if mass[c, x]]) if count[w] else 0.0
+            within = (1 - unseen) * (count[w] - d) / (mass[leaf] - d * kinds[leaf]) if count[w] else unseen
+            same = k > 0 and h == h1
+            state = 0 if k == 0 else 1 + was
+            r = 0.0 if state == 0 else (again[state, True] + 0.5) / (again[state, True] + again[state, False] + 1)
+            was = same
+            total += math.log10((1 - r) * math.exp(soft(rows, c) + choose) * within + r * same)
+        return total
+
+    want = sorted((i is None, i or 0, score(t)) for i, t in rows)
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-4, abs_tol=1e-3) for a, b in zip(got, want, strict=True))
+    assert np.abs(model.weights).max() > 0.01
 
 
 def test_gradient_updates_lower_the_loss():
     t = maxent.Tokens.of([b"aa bb cc dd " * 300])
-    w = np.zeros((maxent.FEATURES * maxent.BINS, maxent.CLASSES), np.float32)
+    w = np.zeros((maxent.ROWS, maxent.CLASSES), np.float32)
     f = t.features()
     loss = lambda: -np.take_along_axis(maxent.class_logs(w, f), t.cls[:, None].astype(int), 1).mean()
     before = loss()
