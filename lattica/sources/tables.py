@@ -85,13 +85,15 @@ def discard(*tables: DataFrame) -> None:
                 _written.remove(path)
 
 
-def drop_staged(spark: SparkSession, since: int = 0) -> int:
-    """Deletes what this driver has staged (after mark `since`); call it when the results that read it are written.
-    Gives the number."""
-    n = len(_written) - since
-    while len(_written) > since:
-        _delete(spark, _written.pop())
-    return n
+def drop_staged(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes what this driver has staged (after mark `since`, but not `keep`); call it when the results that read it
+    are written. Gives the number."""
+    kept = getattr(keep, "_staged_path", None)
+    gone = [p for p in _written[since:] if p != kept]
+    for p in gone:
+        _delete(spark, p)
+        _written.remove(p)
+    return len(gone)
 
 
 def staged_mark() -> int:
