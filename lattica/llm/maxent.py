@@ -7,8 +7,8 @@ A word's class follows from its last two bytes, its subclass within the class fr
 for a word w that training documents hold, and (1 - r(h)) P(class | h) u(class) for an unseen one, so every class sums
 to one over its known words and one unseen word. P(class | h) is a softmax over sums of weights of hashed features of
 the words before: the last one, the last two, the one before the last alone (a skip), and the last two classes.
-P(sub | class, h) is one over the class's subclasses that hold a known word, by the class and features that join it
-with the last word and with the skip. So features tell words apart down to CLASSES * SUBS leaves; within a leaf
+P(sub | class, h) is one over the class's subclasses that hold a known word: their share of its tokens, times weights
+of features that join the class with the last word and with the skip. So features tell words apart down to CLASSES * SUBS leaves; within a leaf
 P(w | leaf) comes from discounted counts over all training documents, and u(class) is the discounted share. r(h) is
 the share of repeats, by whether the word before was itself one. What grows with the corpus are the word counts; the
 table of feature weights has a fixed size.
@@ -41,16 +41,16 @@ from lattica.llm.common import as_bytes, hash_runs, mix, slices, stage, table
 from lattica.llm.labels import held_out
 
 FOLDS = 10
-BLOCK_BYTES = 16 << 20
-BLOCKS_A_TASK = 2
+BLOCK_BYTES = 32 << 20
+BLOCKS_A_TASK = 1
 CLASSES = SUBS = 32
 BINS = 1024
 FEATURES = 4
 SUB_BINS = 4096
-SUB_FEATURES = 3  # the class alone, and with each of the two words before
-ROWS = FEATURES * BINS + CLASSES + (SUB_FEATURES - 1) * SUB_BINS
+SUB_FEATURES = 2
+ROWS = FEATURES * BINS + SUB_FEATURES * SUB_BINS
 ROUNDS = 2
-BATCH = 8192
+BATCH = 16384
 RATE = 0.2
 END_HASH = np.uint64(0x5EED_E17D_0F7E_7E17)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -111,10 +111,9 @@ class Tokens:
         """Rows of the weight table that choose each token's subclass (tokens x SUB_FEATURES)."""
         h, own = np.append(self.h, np.uint64(1)), self.cls.astype(np.uint64) + np.uint64(1)
         out = np.empty((len(self.h), SUB_FEATURES), np.int32)
-        out[:, 0] = self.cls.astype(np.int32) + FEATURES * BINS
-        for k in range(SUB_FEATURES - 1):
+        for k in range(SUB_FEATURES):
             row = mix(h[self.before(k + 1)] * np.uint64(5 + 2 * k) + own * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SUB_BINS)
-            out[:, k + 1] = FEATURES * BINS + CLASSES + k * SUB_BINS + row.astype(np.int32)
+            out[:, k] = FEATURES * BINS + k * SUB_BINS + row.astype(np.int32)
         return out
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
@@ -124,33 +123,44 @@ class Tokens:
         return same, np.where(one < 0, 0, 1 + same[one])
 
 
-def class_logs(weights: np.ndarray, features: np.ndarray, shut: np.ndarray | None = None) -> np.ndarray:
-    """log P(choice | features) for every class or subclass, in sparse batches: only the rows that features name are
-    read. shut (tokens x choices) is very negative where there is no such choice."""
+def sums(weights: np.ndarray, features: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """Sums of weights for every class or subclass, less the greatest of each token, in sparse batches: only the rows
+    that features name are read. prior (tokens x choices) is added; it is very negative where there is no such choice."""
     s = weights[features[:, 0]]
-    if shut is not None:
-        s += shut
     for k in range(1, features.shape[1]):
         s += weights[features[:, k]]
+    if prior is not None:
+        s += prior
     s -= s.max(1, keepdims=True)
-    s -= np.log(np.exp(s).sum(1, keepdims=True))
     return s
 
 
-def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, features: np.ndarray, cls: np.ndarray, shut: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
-    """Minibatch gradient updates (adaptive rates) over these tokens, in place; shut[of] are choices that aren't there."""
+def log_of(weights: np.ndarray, features: np.ndarray, own: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """log P(own choice | features) of each token."""
+    s = sums(weights, features, prior)
+    return np.take_along_axis(s, own[:, None].astype(np.intp), 1)[:, 0] - np.log(np.exp(s).sum(1))
+
+
+def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, features: np.ndarray, cls: np.ndarray, prior: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+    """Minibatch gradient updates (adaptive rates) over these tokens, in place, from the logs prior[of]."""
     for i in range(0, len(cls), BATCH):
         f, y = features[i : i + BATCH], cls[i : i + BATCH]
-        g = np.exp(class_logs(weights, f, None if shut is None else shut[of[i : i + BATCH]]))
+        g = sums(weights, f, None if prior is None else prior[of[i : i + BATCH]])
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
         g[np.arange(len(y)), y] -= 1
         for k in range(f.shape[1]):
-            order = np.argsort(f[:, k], kind="stable")
+            order = np.argsort(f[:, k].astype(np.uint16), kind="stable")  # ROWS < 65536: a radix sort
             rows = f[order, k]
             head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             own = rows[head]
             step = np.add.reduceat(g[order], head, axis=0)
-            squares[own] += step * step
-            weights[own] -= RATE * step / np.sqrt(squares[own])
+            held = squares[own]
+            held += step * step
+            squares[own] = held
+            step *= RATE
+            step /= np.sqrt(held)
+            weights[own] -= step
             met[own] += np.diff(np.append(head, len(rows)))
 
 
@@ -167,8 +177,9 @@ class Counts:
         self.discount = np.clip(np.maximum(single, 0.5) / np.maximum(kinds, 1), 0, 0.9)  # taken off each word, by class
         self.unseen = np.where(mass > 0, self.discount * kinds / np.maximum(mass, 1), 1.0)  # u(class)
         self.left = self.mass - np.repeat(self.discount, SUBS) * self.kinds
-        self.shut = np.where(self.mass.reshape(CLASSES, SUBS) > 0, 0, -1e9).astype(np.float32)
-        self.shut[mass == 0] = 0  # nothing is chosen there
+        share = self.mass.reshape(CLASSES, SUBS) / np.maximum(mass, 1)[:, None]
+        self.prior = np.where(share > 0, np.log(np.maximum(share, 1e-30)), -1e9).astype(np.float32)  # of a subclass
+        self.prior[mass == 0] = 0  # nothing is chosen there
 
     def within(self, count: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """(1 - u(class)) P(w | leaf) of known words, u(class) of unseen ones."""
@@ -194,10 +205,9 @@ class Model:
         p = np.empty(len(t.h))
         for i in range(0, len(p), BATCH):
             part = slice(i, i + BATCH)
-            at = lambda logs, own: np.take_along_axis(logs, own[:, None].astype(np.intp), 1)[:, 0]
-            p[part] = at(class_logs(self.weights, f[part]), t.cls[part])
+            p[part] = log_of(self.weights, f[part], t.cls[part])
             known = np.flatnonzero(count[part] > 0) + i
-            p[known] += at(class_logs(self.weights, sub_f[known], self.counts.shut[t.cls[known]]), sub[known])
+            p[known] += log_of(self.weights, sub_f[known], sub[known], self.counts.prior[t.cls[known]])
         p = np.exp(p)
         within = self.counts.within(count, t.cls, leaf)
         same, state = t.repeats()
@@ -257,7 +267,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "held_out", "text").mapInArrow(run, "block long, h long, leaf int, n long")
 
 
-def train_round(blocks: DataFrame, weights: np.ndarray, which: int, shut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def train_round(blocks: DataFrame, weights: np.ndarray, which: int, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The averaged weights after one pass over the training rows of one part, and the counts of repeats."""
     spark = blocks.sparkSession
     start = spark.sparkContext.broadcast(weights)
@@ -270,7 +280,7 @@ def train_round(blocks: DataFrame, weights: np.ndarray, which: int, shut: np.nda
             for part in slices(batch, "text"):
                 t = Tokens.of(as_bytes(part.column("text")))
                 descend(w, squares, met, t.features(), t.cls)
-                descend(w, squares, met, t.sub_features(), t.leaves()[0], shut, t.cls)
+                descend(w, squares, met, t.sub_features(), t.leaves()[0], prior, t.cls)
                 same, state = t.repeats()
                 seen[:6] += np.bincount(state * 2 + same, minlength=6)
         own = np.flatnonzero(met)
@@ -304,7 +314,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = Counts(mass, kinds, single)
     weights, seen = np.zeros((ROWS, CLASSES), np.float32), np.zeros(6)
     for k in range(ROUNDS):
-        weights, more = train_round(blocks, weights, k, counts.shut)
+        weights, more = train_round(blocks, weights, k, counts.prior)
         seen += more
     repeat = np.where([False, True, True], (seen[1::2] + 0.5) / (seen[0::2] + seen[1::2] + 1), 0.0)
     model = spark.sparkContext.broadcast(Model(weights, repeat, int(mass.sum()), counts))
