@@ -9,7 +9,7 @@ from lattica.llm.common import stage
 
 FOLDS = 5
 PER_CLASS = 3000
-MOST_BYTES = 24 << 20
+MOST_BYTES = 10 << 20
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
