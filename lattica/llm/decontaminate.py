@@ -24,14 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import as_bytes, hash_runs, mix, slices, stage, table
+from lattica.llm.common import as_bytes, bloom, hash_runs, mix, passes, slices, stage, table
 
 #: Token positions that each seed looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 5, 6), (0, 2, 3, 4, 5), (0, 1, 2, 7, 8))
 WINDOW = 13
 MISSES = 2
 SHORTEST = 5
-MOST_FILTER_BITS = 27
 AROUND = WINDOW + max(map(max, MASKS))
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (len(MASKS), 5), dtype=np.uint64) | np.uint64(1)
 
@@ -92,29 +91,6 @@ def seed_table(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stage(flat, "seeds"), rows.select("item_id", "tokens")
 
 
-def bloom(seed_rows: DataFrame) -> np.ndarray:
-    """Bits of a two-hash Bloom filter of the seeds: about 1024 bits a seed, 2^27 at most (16 MB)."""
-    n = seed_rows.count()
-    bits = min(max(22, (1024 * max(n, 1)).bit_length()), MOST_FILTER_BITS)
-    place = F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("p")
-    p = F.col("p").bitwiseAND(F.lit((1 << bits) - 1))
-    words = seed_rows.select(place).groupBy(F.shiftright(p, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    found = words.toArrow()  # at most 2^21 rows
-    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
-def _passes(filt: np.ndarray, h: np.ndarray) -> np.ndarray:
-    mask = np.uint64(len(filt) * 64 - 1)
-
-    def bit(p: np.ndarray) -> np.ndarray:
-        return filt[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)
-
-    some = np.flatnonzero(bit(h & mask))
-    return some[bit(h[some] >> np.uint64(32) & mask) > 0]
-
-
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, overlap_tokens, matched_tokens: the best alignment of each pair that
     is contaminated. doc_start and item_start count tokens to where the alignment's overlap begins."""
@@ -129,7 +105,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, first = tokens(as_bytes(part.column("text")))
-                hits = [(at[ok], s[ok]) for at, s in seeds(h, first) if len(ok := _passes(filt.value, s))]
+                hits = [(at[ok], s[ok]) for at, s in seeds(h, first) if len(ok := passes(filt.value, s))]
                 if not hits:
                     continue
                 at, s = (np.concatenate(x) for x in zip(*hits, strict=True))

@@ -16,15 +16,16 @@ the rows of its least id (of nulls, if it has no other) with the least set among
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import as_bytes, discard, slices, stage, without_rows
+from lattica.llm.common import as_bytes, bloom, discard, passes, slices, stage, without_rows
 from lattica.llm.components import components
 
 WORDS = 5
@@ -83,11 +84,18 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed([_digest(h) for h in sets]), _lists([bands(h) for h in sets])], names=["doc_id", "node", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = [shingles(t) for t in as_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed([_digest(h) for h in sets]), _lists(sets)], names=["doc_id", "node", "shingles"])
+def _sets(named: Broadcast) -> Callable:
+    """Sets of the rows whose id (its hash is h) a Bloom filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                part = part.take(pa.array(passes(named.value, part.column("h").to_numpy().view(np.uint64))))
+                if part.num_rows:
+                    sets = [shingles(t) for t in as_bytes(part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed([_digest(h) for h in sets]), _lists(sets)], names=["doc_id", "node", "shingles"])
+
+    return run
 
 
 def forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -152,14 +160,16 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keeps. Shingle sets are the nodes, so rows without an id link like any other."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     entries = stage(texts.mapInArrow(_entries, "doc_id long, node long, keys array<bigint>"), "shingle_bands")
-    rows = entries.select("doc_id", "node")
+    rows = stage(entries.select("doc_id", "node"), "document_sets")
     distinct = stage(entries.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct_sets")
+    discard(entries)
     posted = distinct.select(F.explode("keys").alias("key"), "node")
-    heads = stage(posted.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "band_heads")
-    ties = posted.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    head = F.min("node").over(Window.partitionBy("key"))
+    ties = posted.withColumn("head", head).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     groups = stage(components(ties).select("node", F.col("component").alias("grp")).join(distinct.select("node", "rep"), "node"), "groups")
-    discard(heads)
-    sets = texts.mapInArrow(_sets, "doc_id long, node long, shingles array<bigint>")
+    # Of rows whose id no group names, no set is made; the join decides about the others
+    named = docs.sparkSession.sparkContext.broadcast(bloom(groups.select(F.xxhash64("rep").alias("hash")), 64))
+    sets = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets(named), "doc_id long, node long, shingles array<bigint>")
     same = (F.col("doc_id").eqNullSafe(F.col("rep"))) & (sets["node"] == groups["node"])
     shipped = sets.join(groups, same).select(sets["node"].alias("node"), "grp", "shingles")
     # One row gives each set; only rows repeated with their id give more, and those alone are made distinct
