@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import as_bytes, bloom, hash_runs, mix, passes, slices, stage, table
+from lattica.llm.common import as_bytes, bloom, hash_runs, mix, passes, slices, split_rows, stage, table
 
 #: Token positions that each seed looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 5, 6), (0, 2, 3, 4, 5), (0, 1, 2, 7, 8))
@@ -176,7 +176,9 @@ def matched(doc: np.ndarray, item: np.ndarray, item_size: int) -> int | None:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that no benchmark item contaminates, with all their columns."""
-    return docs.join(overlaps(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = stage(overlaps(docs, items).select("doc_id").distinct(), "contaminated")
+    clean, some = split_rows(docs, F.xxhash64("doc_id"), found.select(F.xxhash64("doc_id").alias("hash")))
+    return clean.union(some.join(found, "doc_id", "left_anti").select(docs.columns))
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,15 @@ def test_near_duplicates_ships_the_sets_of_groups_only(spark, tmp_path):
         assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id").collect()} == set(range(n))
         corpus_pipeline.drop_near_duplicates(spark, docs, SF).write.parquet(str(tmp_path / "kept"))
         assert shuffled(spark) - before < 0.6 * 2 * size  # two runs
+
+
+def test_decontamination_ships_the_texts_of_hits_only(spark, tmp_path):
+    docs, size, n = long_texts(spark)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs.selectExpr("doc_id", f"CASE WHEN doc_id % 50 = 0 THEN text || ' ' || \"{item}\" ELSE text END AS text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    with without_broadcasts(spark):
+        before = shuffled(spark)
+        corpus_pipeline.drop_contaminated(spark, docs, SF).write.parquet(str(tmp_path / "kept"))
+        assert shuffled(spark) - before < 0.3 * size
+    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()} == {r.doc_id for r in docs.select("doc_id").collect() if r.doc_id % 50}
