@@ -27,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By the SimHash index and, beyond its four bits, MinHash bands; exact Jaccard decides about what they find."""
     return deduplicated(docs)
 
 

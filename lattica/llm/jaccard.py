@@ -1,9 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and the Jaccard similarity of word shingles.
 
 Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; linked
-documents, also through others, are one component. Candidates come from MinHash: 50 bands of eight least values
+documents, also through others, are one component. Candidates come from the SimHash index of op3 (fingerprints of at
+most four differing bits), and, as pairs at 0.8 mostly lie further apart, from MinHash: 50 bands of eight least values
 each, so that a pair at 0.8 shares a band with a probability of 0.9999, and one above it almost surely. Every
-entry of a band's list is tied to the least of the list, and the components of those ties are the groups within
+entry of a band's list is tied to the least of the list, and the components of all ties are the groups within
 which all pairs are held against each other by exact Jaccard. A group's shingles are shipped once; a group above
 BLOCK shingles is dealt into blocks that are compared as tiles.
 
@@ -25,6 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.llm import simhash
 from lattica.llm.common import as_bytes, bloom, discard, passes, slices, stage, without_rows
 from lattica.llm.components import components
 
@@ -80,8 +82,9 @@ def _signed(values: list[int]) -> pa.Array:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            sets = [shingles(t) for t in as_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed([_digest(h) for h in sets]), _lists([bands(h) for h in sets])], names=["doc_id", "node", "keys"])
+            texts = as_bytes(part.column("text"))
+            sets, prints = [shingles(t) for t in texts], [simhash.fingerprint(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed([_digest(h) for h in sets]), _signed(prints), _lists([bands(h) for h in sets])], names=["doc_id", "node", "fp", "keys"])
 
 
 def _sets(named: Broadcast) -> Callable:
@@ -155,17 +158,29 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(fresh, pa.int64()))
 
 
+def _print_ties(prints: DataFrame) -> DataFrame:
+    """a, b: ties that span what the SimHash index links, given the sets and their texts' fingerprints (node, fp)."""
+    distinct = stage(prints.groupBy("fp").agg(F.min("node").alias("rep")), "distinct_prints")
+    same = prints.join(distinct, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return simhash.links(distinct).union(same)
+
+
+def _band_ties(distinct: DataFrame) -> DataFrame:
+    """a, b: each set of a band's list with the least of the list, given sets and their keys (node, keys)."""
+    head = F.min("node").over(Window.partitionBy("key"))
+    posted = distinct.select(F.explode("keys").alias("key"), "node").withColumn("head", head)
+    return posted.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, and (node, component_id, kept): the least id of the component and the set that it
     keeps. Shingle sets are the nodes, so rows without an id link like any other."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    entries = stage(texts.mapInArrow(_entries, "doc_id long, node long, keys array<bigint>"), "shingle_bands")
-    rows = stage(entries.select("doc_id", "node"), "document_sets")
+    entries = stage(texts.mapInArrow(_entries, "doc_id long, node long, fp long, keys array<bigint>"), "shingle_bands")
+    rows = stage(entries.select("doc_id", "node", "fp"), "document_sets")
     distinct = stage(entries.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct_sets")
     discard(entries)
-    posted = distinct.select(F.explode("keys").alias("key"), "node")
-    head = F.min("node").over(Window.partitionBy("key"))
-    ties = posted.withColumn("head", head).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ties = _print_ties(rows.select("node", "fp").distinct()).union(_band_ties(distinct))
     groups = stage(components(ties).select("node", F.col("component").alias("grp")).join(distinct.select("node", "rep"), "node"), "groups")
     # Of rows whose id no group names, no set is made; the join decides about the others
     named = docs.sparkSession.sparkContext.broadcast(bloom(groups.select(F.xxhash64("rep").alias("hash")), 64))
@@ -190,7 +205,7 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = stage(distinct.join(linked, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "named_sets")
     discard(distinct, linked)
     least = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("x"))
-    return rows, stage(named.join(least, "component").select("node", F.col("x.rep").alias("component_id"), F.col("x.node").alias("kept")), "named")
+    return rows.select("doc_id", "node"), stage(named.join(least, "component").select("node", F.col("x.rep").alias("component_id"), F.col("x.node").alias("kept")), "named")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
