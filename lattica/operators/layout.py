@@ -3,17 +3,53 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lattica.functions import text as T
 
 
+def walked(rows: DataFrame, by: list[str], columns: list[str], walk: Callable[..., list[tuple]], fields: str) -> DataFrame:
+    """by, fields: the tuples that walk gives for each group, whose rows it gets as a list for each of `columns`, in
+    order of the first. Groups are collected natively and walked a batch at a time: documents are many and small, and
+    a frame and an Arrow stream for each would cost far more than the walk."""
+    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_g"))
+    made = StructType.fromDDL(fields)
+    kinds = to_arrow_schema(made)
+
+    def batch_of(keys: pa.RecordBatch, at: list[int], out: list[tuple]) -> pa.RecordBatch:
+        own = keys.take(pa.array(at, pa.int64()))
+        cols = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*own.columns, *cols], names=[*by, *kinds.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, keys = batch.column("_g"), batch.select(by)
+            flat = lists.flatten()
+            cols = [flat.field(i).to_pylist() for i in range(len(columns))]
+            begin, at, out = 0, [], []
+            for i, n in enumerate(lists.value_lengths().to_pylist()):
+                got = walk(*(c[begin : begin + n] for c in cols))
+                begin += n
+                at += [i] * len(got)
+                out += got
+                if len(out) >= 1 << 15:
+                    yield batch_of(keys, at, out)
+                    at, out = [], []
+            if out:
+                yield batch_of(keys, at, out)
+
+    return held.mapInArrow(run, StructType([*held.select(*by).schema, *made]))
+
+
 def bands(points: DataFrame, by: list[str], value: str, gap: float) -> DataFrame:
     """by, band, lo, hi: islands of rounded coordinates no further apart than gap."""
     v = points.select(*by, F.round(value, 0).alias("v")).distinct()
@@ -174,18 +210,26 @@ def assign_captions(tables: DataFrame, captions: DataFrame, by: list[str]) -> Da
     """Adds cap_page, cap_y, caption to tables (ord, page): each takes, in order, a caption not taken yet, of its own
     page if there is one, else the earliest. Captions are (num, page, y, text)."""
 
-    def run(key, t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        free = list(c.sort_values(["page", "y", "num"]).itertuples())
+    last = lambda *x: tuple((v is None, v) for v in x)  # noqa: E731  (nulls go last)
+
+    def run(kinds: list, ords: list, pages: list, ys: list, nums: list, texts: list) -> list[tuple]:
+        free = sorted((i for i, k in enumerate(kinds) if not k), key=lambda i: last(pages[i], ys[i], nums[i]))
         out = []
-        for row in t.sort_values("ord").itertuples():
-            pick = next((x for x in free if x.page == row.page), free[0] if free else None)
-            if pick is not None:
+        for row in sorted((i for i, k in enumerate(kinds) if k), key=lambda i: last(ords[i])):
+            pick = next((i for i in free if pages[i] is not None and pages[i] == pages[row]), free[0] if free else None)
+            if pick is None:
+                out.append((ords[row], pages[row], 500.0, None))
+            else:
                 free.remove(pick)
-            out.append((*key, row.ord, pick.page if pick else row.page, pick.y + 2 if pick else 500.0, pick.text if pick else None))
-        return pd.DataFrame(out, columns=[*by, "ord", "cap_page", "cap_y", "caption"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables.select(*by, "ord").schema) + ", cap_page int, cap_y double, caption string"
-    placed = tables.select(*by, "ord", "page").groupBy(*by).cogroup(captions.select(*by, "num", "page", "y", "text").groupBy(*by)).applyInPandas(run, schema)
+                out.append((ords[row], pages[pick], None if ys[pick] is None else ys[pick] + 2, texts[pick]))
+        return out
+
+    kind = tables.schema["ord"].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    page, y, num, text = F.col("page").cast("int").alias("page"), F.col("y").cast("double").alias("y"), F.col("num").cast("int").alias("num"), F.col("text")
+    own = tables.select(*by, F.lit(1).alias("kind"), "ord", page, none("double").alias("y"), none("int").alias("num"), none("string").alias("text"))
+    both = own.unionByName(captions.select(*by, F.lit(0).alias("kind"), none(kind).alias("ord"), page, y, num, text))
+    placed = walked(both, by, ["kind", "ord", "page", "y", "num", "text"], run, f"ord {kind}, cap_page int, cap_y double, caption string")
     return tables.join(placed, [*by, "ord"], "left")
 
 
@@ -230,7 +274,9 @@ def scan_table(lines: list[str], kinds: str, words: list[int], head: int = 8) ->
 
 def caption_tables(pages: DataFrame) -> DataFrame:
     """doc_id, num, page, caption, headers, rows, quality of tables below 'Table N:' lines of (doc_id, page, text)."""
-    lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("ln", "raw")).withColumn("line", F.trim("raw"))
+    # Pages are dealt out whole: the rules then run where the page is walked, whatever few files the pages came in
+    dealt = pages.select("doc_id", F.col("page").cast("int").alias("page"), "text").repartition("doc_id", "page")
+    lines = dealt.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("ln", "raw")).withColumn("line", F.trim("raw"))
     w = T.words(F.col("line"))
     numeric = F.coalesce(F.size(F.filter(w, lambda x: x.rlike(r"\d") | x.rlike(T.MATH))) / F.nullif(F.size(w), F.lit(0)), F.lit(0.0))
     lines = lines.select(
@@ -239,17 +285,11 @@ def caption_tables(pages: DataFrame) -> DataFrame:
         F.regexp_extract("line", r"(?i)^\s*Table\s*(\d+)\s*[:.]", 1).alias("num"),
     )
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ln")
-        text, kinds, words = page["line"].tolist(), "".join(page["kind"]), page["n"].tolist()
-        out = []
-        for i, num in enumerate(page["num"]):
-            if num:
-                out.append((page["doc_id"].iloc[0], page["page"].iloc[0], int(num), text[i], scan_table(text[i + 1 :], kinds[i + 1 :], words[i + 1 :])))
-        return pd.DataFrame(out, columns=["doc_id", "page", "num", "caption", "lines"])
+    def run(ln: list, text: list, words: list, kind: list, nums: list) -> list[tuple]:
+        kinds = "".join(kind)
+        return [(int(num), text[i], scan_table(text[i + 1 :], kinds[i + 1 :], words[i + 1 :])) for i, num in enumerate(nums) if num]
 
-    kind = pages.schema["doc_id"].dataType.simpleString()
-    found = lines.groupBy("doc_id", "page").applyInPandas(run, f"doc_id {kind}, page int, num int, caption string, lines array<string>")
+    found = walked(lines, ["doc_id", "page"], ["ln", "line", "n", "kind", "num"], run, "num int, caption string, lines array<string>")
     found = found.where(F.size("lines") >= 2).withColumn("_g", T.padded(F.transform("lines", T.split_columns))).where(F.size(F.element_at("_g", 1)) >= 2)
     found = found.withColumn("headers", F.element_at("_g", 1)).withColumn("rows", F.slice("_g", 2, F.lit(1 << 30))).where(T.is_valid_table(F.col("headers"), F.col("rows")))
     found = found.withColumn("quality", F.round(T.fill_quality(F.col("headers"), F.col("rows")), 3)).where("quality >= 0.25")
@@ -307,23 +347,22 @@ def structured_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 def merged_paragraphs(content: DataFrame) -> DataFrame:
     """doc_id, section_ord, heading, ord, type, text: runs of paragraphs between figures and tables merged."""
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("ord")
+    def run(ords: list, kinds: list, texts: list, headings: list) -> list[tuple]:
         out, held = [], []
 
         def flush():
             out.extend(("paragraph", p) for p in merge_paragraphs(held))
             held.clear()
 
-        for kind, text in zip(t["type"], t["text"], strict=True):
+        for kind, text in zip(kinds, texts, strict=True):
             if kind == "paragraph":
                 held.append(text)
             else:
                 flush()
                 out.append((kind, text))
         flush()
-        return pd.DataFrame([(t["doc_id"].iloc[0], t["section_ord"].iloc[0], t["heading"].iloc[0], i, k, x) for i, (k, x) in enumerate(out)], columns=["doc_id", "section_ord", "heading", "ord", "type", "text"])
+        return [(headings[0], i, k, x) for i, (k, x) in enumerate(out)]
 
-    kind = content.schema["doc_id"].dataType.simpleString()
-    out = content.groupBy("doc_id", "section_ord").applyInPandas(run, f"doc_id {kind}, section_ord int, heading string, ord int, type string, text string")
+    rows = content.withColumn("section_ord", F.col("section_ord").cast("int"))
+    out = walked(rows, ["doc_id", "section_ord"], ["ord", "type", "text", "heading"], run, "heading string, ord int, type string, text string")
     return out.withColumn("text", F.when(F.col("type") == "paragraph", T.clean_paragraph(F.col("text"))).otherwise(F.col("text")))
