@@ -25,3 +25,39 @@ def test_captions_with_nulls(spark):
     c = spark.createDataFrame([("d", 1, 1, None, "one"), ("d", 2, None, 3.0, "two"), ("f", 1, 1, 1.0, "alone")], "doc_id string, num int, page int, y double, text string")
     got = {(r.doc_id, r.ord): (r.cap_page, r.cap_y, r.caption) for r in L.assign_captions(t, c, ["doc_id"]).collect()}
     assert got == {("d", 0): (1, None, "one"), ("d", 1): (None, 5.0, "two"), ("e", 0): (5, 500.0, None)}
+
+
+def test_ranks_by_label_equal_brute_force(spark, monkeypatch):
+    """Ties, absent labels and several blocks of queries; true pairs are never joined."""
+    from lattica.operators import ranking as R
+
+    monkeypatch.setattr(R, "HELD", 200)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (60, 3)).astype(float)
+    x[(x == 0).all(1)] = 1.0
+    label = [None if i == 7 else int(i % 4) for i in range(60)]
+    v = spark.createDataFrame([(i, x[i].tolist(), label[i]) for i in range(60)], "id long, v array<double>, label int").repartition(3)
+    queries = v.where("id % 5 = 2")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want, top = {}, {}
+    for q in range(2, 60, 5):
+        order = sorted((c for c in range(60) if c != q), key=lambda c: (-(np.round(u[q] @ u[c], 6) + 0.0), c))
+        top[q] = order[:4]
+        want |= {(q, c): k for k, c in enumerate(order, 1) if label[q] is not None and label[c] == label[q]}
+    assert {(r.query, r.candidate): r["rank"] for r in R.label_truth_ranks(queries, v).collect()} == want
+    best = {q: min(k for (a, _), k in want.items() if a == q) for q, _ in want}
+    assert {r.query: r.best_rank for r in R.label_best_ranks(queries, v).collect()} == best
+    few = R.label_diagnostics(R.cosine_pairs(queries, v, k=4), v.select("id", "label"), 4).collect()
+    assert {q: [r.candidate for r in sorted((r for r in few if r.query == q), key=lambda r: r["rank"])] for q in top} == top
+    assert all(r.is_true == ((r.query, r.candidate) in want) for r in few)
+
+
+@pytest.mark.parametrize("n,fraction", [(0, 0.5), (1, 0.5), (9, 0.25), (1000, 0.25)])
+def test_exact_split_of_rows_equals_the_generator(spark, n, fraction):
+    """The ids stay on the executors; the members are those of the shuffle of a list."""
+    from lattica.operators import ranking as R
+
+    ids = [int(i) * 7 - 100 for i in range(n)]
+    rows = R.exact_split_rows(spark.createDataFrame([(i,) for i in reversed(ids)], "x long"), "x", fraction, 42).collect()
+    first, rest = R.exact_split(ids, fraction, 42)
+    assert ({r.x for r in rows if r["first"]}, {r.x for r in rows if not r["first"]}) == (first, rest)
