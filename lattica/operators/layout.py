@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -61,14 +61,27 @@ def bands(points: DataFrame, by: list[str], value: str, gap: float) -> DataFrame
 
 def word_grid(words: DataFrame, by: list[str]) -> DataFrame:
     """by, r, c, text: words (x0, top, text) placed into row and column bands (tolerance 4), the first that fits."""
-    cols = bands(words, by, "x0", 12).select(*by, F.col("band").alias("c"), F.col("lo").alias("cl"), F.col("hi").alias("ch"))
-    rows = bands(words, by, "top", 4).select(*by, F.col("band").alias("r"), F.col("lo").alias("rl"), F.col("hi").alias("rh"))
-    w = words.withColumn("_i", F.monotonically_increasing_id()) if "ord" not in words.columns else words.withColumn("_i", F.col("ord"))
-    w = w.where(F.trim("text") != "")
-    in_c = w.join(cols, by).where(F.col("x0").between(F.col("cl") - 4, F.col("ch") + 4)).groupBy(*by, "_i").agg(F.min("c").alias("c"))
-    in_r = w.join(rows, by).where(F.col("top").between(F.col("rl") - 4, F.col("rh") + 4)).groupBy(*by, "_i").agg(F.min("r").alias("r"))
-    placed = w.join(in_c, [*by, "_i"]).join(in_r, [*by, "_i"])
-    return placed.groupBy(*by, "r", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    w = words.withColumn("_i", F.monotonically_increasing_id() if "ord" not in words.columns else F.col("ord"))
+    # A page's words meet in one row, its bands with them: no band is joined with a word
+    page = w.groupBy(*by).agg(*(F.array_sort(F.collect_set(F.round(c, 0).cast("double"))).alias(f"_{c}") for c in ("x0", "top")), F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("_i", "x0", "top", F.trim("text").alias("t"))))).alias("_w"))
+    page = page.select(*by, _islands(F.col("_x0"), 12).alias("_c"), _islands(F.col("_top"), 4).alias("_r"), "_w")
+
+    def fits(value: Column, islands: str) -> Column:
+        hit = F.transform(islands, lambda b: value.between(b["lo"] - 4, b["hi"] + 4))
+        return (F.array_position(hit, True) - 1).cast("long")
+
+    placed = page.select(*by, F.transform("_w", lambda x: F.struct(fits(x["top"], "_r").alias("r"), fits(x["x0"], "_c").alias("c"), x["_i"].alias("i"), x["t"].alias("t"))).alias("_w"))
+    cells = placed.select(*by, "_w", F.explode(F.array_distinct(F.transform("_w", lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"))))).alias("_k"))
+    own = F.transform(F.filter("_w", lambda x: (x["r"] == F.col("_k")["r"]) & (x["c"] == F.col("_k")["c"])), lambda x: x["t"])
+    return cells.where("_k.r >= 0 and _k.c >= 0").select(*by, F.col("_k")["r"].alias("r"), F.col("_k")["c"].alias("c"), F.array_join(own, " ").alias("text"))
+
+
+def _islands(values: Column, gap: float) -> Column:
+    """Islands (lo, hi) of sorted values no further apart than gap, in order."""
+    one = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, v: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(one(last(acc)["lo"], v)))
+    return F.aggregate(values, F.array().cast("array<struct<lo:double,hi:double>>"), lambda acc, v: F.when((F.size(acc) > 0) & (v - F.try_element_at(acc, F.lit(-1))["hi"] <= gap), grown(acc, v)).otherwise(F.concat(acc, F.array(one(v, v)))))
 
 
 def table_regions(rows: DataFrame, by: list[str], n_cols: str = "n_cols", least_cols: int = 2, least_fill: float = 0.4) -> DataFrame:
