@@ -14,6 +14,8 @@ from lattica.operators.dictionary import match_names, resolve_names
 from lattica.sources.tables import staged
 
 PAPER = "paper:"
+#: Papers of a list that an entity ships.
+LISTED = 4096
 
 
 def build_graph(triples: DataFrame, forms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -132,12 +134,15 @@ def fuse(nodes: DataFrame, edges: DataFrame, network: DataFrame) -> tuple[DataFr
 def shared_entity_papers(mentions: DataFrame) -> DataFrame:
     """src, neighbours: how many other papers mention an entity that a paper mentions.
 
-    Entities that very many papers mention make the self-join quadratic in them; it is what the count asks for, and
-    the join's skew is left to adaptive execution.
+    An entity ships its papers as lists of at most LISTED to each of them, so no pair is ever a row; entities that very
+    many papers mention still make that quadratic in them, which is what the count asks for.
     """
     m = mentions.select("src", "dst").distinct()
-    other = m.withColumnRenamed("src", "src2")
-    return m.join(other, "dst").where("src <> src2").groupBy("src").agg(F.countDistinct("src2").alias("neighbours"))
+    block = F.floor((F.row_number().over(Window.partitionBy("dst").orderBy("src")) - 1) / LISTED)
+    lists = m.withColumn("_b", block).groupBy("dst", "_b").agg(F.array_sort(F.collect_list("src")).alias("_l"))
+    met = m.join(lists, "dst").groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("_l"))).alias("_all"))
+    # The paper itself is in each of its lists
+    return met.select("src", (F.size("_all") - 1).cast("long").alias("neighbours")).where("neighbours > 0")
 
 
 def connectivity(papers: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
