@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lattica import vocab as V
 from lattica.functions import text as T
+from lattica.sources.tables import staged
 
 LONGEST_NGRAM = 8
 
@@ -146,7 +147,7 @@ def entity_rows(seeds: DataFrame, body: DataFrame, to_type: dict[str, str | None
 
 
 def _near_pairs(titles: DataFrame, index: DataFrame, least: float) -> DataFrame:
-    """Pairs (title_id, a, b, paper_id, ord) that include all with a ratio of `least` or more.
+    """Pairs (title_id, a, b, paper_id, ord) that include all with a ratio of `least` or more; rows are told apart by ta, ib.
 
     Let two strings have S characters together and M matched in pairs, 2 M >= least S. Their matched blocks number
     (1 - least) S + 1 at most, for a character of either string is unmatched between any two, so they share
@@ -164,22 +165,21 @@ def _near_pairs(titles: DataFrame, index: DataFrame, least: float) -> DataFrame:
         long_enough = least_shared
     ok = lambda c: (least_shared(F.length(c).cast("double")) >= 1) if shared > 0 else long_enough
 
-    def grams(rows: DataFrame, c: str) -> DataFrame:
-        n = F.length(c) - 2
-        g = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col(c), i, F.lit(3)))
-        each = rows.where(ok(c)).select(c, F.explode(g).alias("g"))
-        return each.groupBy(c, "g").agg(F.count("*").alias("k")).select(c, "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("k"))
+    def grams(rows: DataFrame, c: str, key: str) -> DataFrame:
+        g = F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3)))
+        each = rows.where(ok(c)).select(key, F.length(c).alias("len"), F.explode(g).alias("g"))
+        return each.groupBy(key, "len", "g").agg(F.count("*").alias("k")).select(key, "len", "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("k"))
 
-    left, right = grams(titles.select("a").distinct(), "a"), grams(index.select("b"), "b")
+    left, right = grams(titles, "a", "ta"), grams(index, "b", "ib")
     rank = left.select("g", "k").union(right.select("g", "k")).groupBy("g", "k").agg(F.count("*").alias("n"))
 
-    def rare(rows: DataFrame, c: str) -> DataFrame:
-        w = Window.partitionBy(c).orderBy("n", "g", "k")
-        keep = F.length(c) - 2 - least_shared(F.length(c).cast("double")) + 1
-        return rows.join(rank, ["g", "k"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select(c, "g", "k")
+    def rare(rows: DataFrame, key: str) -> DataFrame:
+        w = Window.partitionBy(key).orderBy("n", "g", "k")
+        keep = F.col("len") - 2 - least_shared(F.col("len").cast("double")) + 1
+        return rows.join(rank, ["g", "k"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select(key, "g", "k")
 
-    met = rare(left, "a").join(rare(right, "b"), ["g", "k"]).select("a", "b").distinct()
-    by_gram = titles.join(met, "a").join(index, "b").select("title_id", "a", "b", "paper_id", "ord")
+    met = rare(left, "ta").join(rare(right, "ib"), ["g", "k"]).select("ta", "ib").distinct()
+    by_gram = titles.join(met, "ta").join(index, "ib").select("title_id", "a", "b", "paper_id", "ord")
     # The rest: at least one of the two is short, so both are, by the ratio of their lengths
     band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(width))).cast("int")
     short = titles.select("*", F.explode(F.array(*(band(F.length("a")) + d for d in (-1, 0, 1)))).alias("band")).join(index.withColumn("band", band(F.length("b"))), "band")
@@ -191,19 +191,21 @@ def lookup_titles(titles: DataFrame, index: DataFrame, least: float = 0.85) -> D
     """title_id, paper_id, score: an index entry with the same normal title, else the most similar one.
 
     Only titles without an exact hit go on to compare. Candidates share a rare trigram (see _near_pairs); two bounds of
-    the ratio (lengths, then shared characters) cut them before difflib sees them, and none can lose a match.
+    the ratio (lengths, then the longest common subsequence) cut them before difflib sees them, and none can lose a match.
     """
-    from lattica.functions.python_udfs import sequence_ratio
+    from lattica.functions.python_udfs import near_ratio
 
-    t = titles.select("title_id", T.normal_title(F.col("title")).alias("a"))
-    i = index.groupBy(T.normal_title(F.col("title")).alias("b")).agg(F.max_by("paper_id", "ord").alias("paper_id"), F.min("ord").alias("ord"))
+    # Both are read many times below, and their rules would run for each pair
+    own = F.monotonically_increasing_id()
+    t = staged(titles.select("title_id", T.normal_title(F.col("title")).alias("a"), own.alias("ta")), "titles")
+    i = staged(index.groupBy(T.normal_title(F.col("title")).alias("b")).agg(F.max_by("paper_id", "ord").alias("paper_id"), F.min("ord").alias("ord")).withColumn("ib", own), "title-index")
     exact = t.join(i, t["a"] == i["b"]).select("title_id", "paper_id", F.lit(1.0).alias("score"))
-    rest = t.join(exact, "title_id", "left_anti")
+    rest = staged(t.join(exact, "title_id", "left_anti"), "titles-left")
     la, lb = F.length("a"), F.length("b")
     pairs = _near_pairs(rest, i, least).where(2 * F.least(la, lb) >= least * (la + lb))
-    letters = lambda x: F.array_distinct(F.split(x, ""))
-    counts = lambda x, y: F.aggregate(letters(x), F.lit(0), lambda acc, c: acc + F.least(F.length(x) - F.length(F.replace(x, c, F.lit(""))), F.length(y) - F.length(F.replace(y, c, F.lit("")))))
-    near = pairs.where(2 * counts(F.col("a"), F.col("b")) >= least * (la + lb)).withColumn("score", sequence_ratio("a", "b")).where(F.col("score") >= least)
+    # A few titles make very many pairs, in few partitions: they are dealt out before they are compared
+    dealt = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    near = dealt.withColumn("score", near_ratio(least)("a", "b")).where(F.col("score") >= least)
     best = near.groupBy("title_id").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "paper_id")).alias("m")).select("title_id", "m.paper_id", "m.score")
     return exact.union(best)
 

@@ -61,3 +61,39 @@ def test_exact_split_of_rows_equals_the_generator(spark, n, fraction):
     rows = R.exact_split_rows(spark.createDataFrame([(i,) for i in reversed(ids)], "x long"), "x", fraction, 42).collect()
     first, rest = R.exact_split(ids, fraction, 42)
     assert ({r.x for r in rows if r["first"]}, {r.x for r in rows if not r["first"]}) == (first, rest)
+
+
+def test_common_subsequence_bounds_the_ratio():
+    import difflib
+    import random
+
+    from lattica.functions.python_udfs import common_length
+
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(r.choices("abc ", k=r.randrange(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        assert common_length(a, b) == row[-1]
+        assert difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() * (len(a) + len(b)) <= 2 * common_length(a, b) + 1e-9
+
+
+def test_word_grid_joins_nothing(spark):
+    w = spark.createDataFrame([(1, 0, 10.0, 5.0, "A"), (1, 1, 30.0, 5.0, "B"), (1, 2, 12.0, 30.0, " "), (2, 0, None, 1.0, "n"), (2, 1, 3.0, 1.0, "z")], "p int, ord int, x0 double, top double, text string")
+    grid = L.word_grid(w, ["p"])
+    assert "Join" not in plan(grid)
+    assert {(r.p, r.r, r.c): r.text for r in grid.collect()} == {(1, 0, 0): "A", (1, 0, 1): "B", (2, 0, 0): "z"}
+
+
+def test_shared_entities_ship_lists(spark, monkeypatch):
+    from lattica.operators import graph as G
+
+    monkeypatch.setattr(G, "LISTED", 2)
+    rows = [(s, d) for d in range(4) for s in range(10) if (s * 7 + d) % 3 == 0] + [(99, 50), (0, 0)]
+    got = {r.src: r.neighbours for r in G.shared_entity_papers(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    own = {(s, d) for s, d in rows}
+    want = {s: len({b for a, d in own if a == s for b, e in own if e == d and b != s}) for s, _ in own}
+    assert got == {s: n for s, n in want.items() if n}
