@@ -97,3 +97,16 @@ def test_shared_entities_ship_lists(spark, monkeypatch):
     own = {(s, d) for s, d in rows}
     want = {s: len({b for a, d in own if a == s for b, e in own if e == d and b != s}) for s, _ in own}
     assert got == {s: n for s, n in want.items() if n}
+
+
+def test_an_epoch_of_a_large_run_writes_vectors_once(spark, monkeypatch):
+    """However many groups of triples: before, each bucket of entities made a round that wrote all vectors."""
+    from lattica.operators import kge
+
+    written, staged = [], kge.staged
+    monkeypatch.setattr(kge, "staged", lambda df, name: written.append(name) or staged(df, name))
+    t = spark.range(60).selectExpr("id AS h", "0L AS r", "(id * 7 + 1) % 60 AS t")
+    rows = kge.train_in_buckets(t, 61, 1, kge.Settings(dim=4, epochs=2, negatives=2, batch=8, rate=0.1), 3, bucket=6).collect()
+    assert written.count("entity-vectors") == 1 + 2 and sorted(r.id for r in rows) == list(range(61))
+    start = np.random.default_rng((3, 60)).uniform(-3, 3, 4)  # an entity of no triple stays where it began
+    assert np.allclose(next(r.v for r in rows if r.id == 60), start)
