@@ -110,3 +110,35 @@ def test_an_epoch_of_a_large_run_writes_vectors_once(spark, monkeypatch):
     assert written.count("entity-vectors") == 1 + 2 and sorted(r.id for r in rows) == list(range(61))
     start = np.random.default_rng((3, 60)).uniform(-3, 3, 4)  # an entity of no triple stays where it began
     assert np.allclose(next(r.v for r in rows if r.id == 60), start)
+
+
+def test_headings_of_odd_lines(spark):
+    """A line of white space that trim() leaves has no first word, which was an error; long rows of numbers are no heading."""
+    from lattica.functions import text as T
+
+    lines = ["1" + ".1" * 60000, "1" + ".1" * 60000 + ". Of it", "\t\t\t\t\t\t", "\u000b\u000b\u000b\u000b\u000b\u000b", "1.1 Introduction", "A Proofs of it", ""]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", T.is_heading(F.col("line")).alias("h"), T.is_garbage(F.col("line")).alias("g")).collect()
+    assert [r.h for r in sorted(rows)] == [False, False, False, False, True, True, False]
+    assert all(r.g is not None for r in rows)
+
+
+def test_references_cut_short_stay_as_they_are():
+    from lattica.operators import documents as H
+
+    assert H.read_blocks("<h1>a &quot</h1><p>b &quot; &am &amp &amp; &copy; &lt;i&gt; &qu</p>") == ("a &quot", [("h1", "a &quot"), ("p", 'b " &am & & © <i> &qu')])
+
+
+def test_nearest_by_term_keeps_ties_in_order(spark):
+    from lattica.operators import concepts as C
+
+    rows = [(i, f"t{j}", 1.0) for i in range(40) for j in range(6) if (i * 3 + j * 5) % 4 < 2]
+    v = spark.createDataFrame(rows, "id long, term string, w double").repartition(3)
+    got = {}
+    from lattica.operators import ranking as R
+
+    for r in R.ranked(C.nearest_by_term(v.where("id % 10 = 0"), v, 5), 5).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.candidate, r.score))
+    own = {i: {t for a, t, _ in rows if a == i} for i in range(40)}
+    for q in range(0, 40, 10):
+        want = sorted(((-len(own[q] & own[c]), c) for c in range(40) if c != q and own[q] & own[c]))[:5]
+        assert [(c, s) for _, c, s in sorted(got.get(q, []))] == [(c, -float(n)) for n, c in [(n, c) for n, c in want]]
